@@ -13,18 +13,28 @@ _OCTET = r"0*([0-9]{1,3})"
 _ADDRESS = rf"^{_BLANK}(?:::[fF]{{4}}:)?{_OCTET}\.{_OCTET}\.{_OCTET}\.{_OCTET}(?:/32)?{_BLANK}$"
 
 
+def _address(c: Column | str, hosts_only: bool) -> Column:
+    """The octets are folded once, from 1 on, so that four valid octets end in [2**32, 2**33)."""
+    octets = F.split(F.regexp_replace(F.col(c) if isinstance(c, str) else c, _ADDRESS, "$1.$2.$3.$4"), r"\.")
+
+    def fold(total: Column, text: Column) -> Column:
+        octet = text.try_cast("bigint")
+        return F.when(octet.between(0, 255) & (total < 1 << 40), total * 256 + octet)
+
+    def check(total: Column) -> Column:
+        n = total - (1 << 32)
+        valid = total.between(1 << 32, (1 << 33) - 1)
+        return F.when(valid & names_host(n) if hosts_only else valid, n)
+
+    return F.aggregate(octets, F.lit(1).cast("bigint"), fold, check)
+
+
 def host_number(c: Column | str) -> Column:
     """An IPv4 address in any spelling (blanks, leading zeros, ::ffff: prefix, /32) as a bigint; else null.
 
     Octets are decimal. An octet over 255 or any other text gives null.
     """
-    parts = F.split(F.regexp_replace(F.col(c) if isinstance(c, str) else c, _ADDRESS, "$1.$2.$3.$4"), r"\.")
-    total, valid = F.lit(0).cast("bigint"), F.size(parts) == 4
-    for i in range(4):
-        octet = F.get(parts, F.lit(i)).try_cast("bigint")
-        total = total * 256 + octet
-        valid = valid & octet.between(0, 255)
-    return F.when(valid, total)
+    return _address(c, hosts_only=False)
 
 
 def names_host(n: Column) -> Column:
@@ -34,8 +44,7 @@ def names_host(n: Column) -> Column:
 
 def linking_host(c: Column | str) -> Column:
     """`host_number` of an address that names one host; else null."""
-    n = host_number(c)
-    return F.when(names_host(n), n)
+    return _address(c, hosts_only=True)
 
 
 def dotted(n: Column) -> Column:
