@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions import canon
 from flowloom.llm.clusters import split_clusters
+from flowloom.llm.overlap import overlap_pairs, overlap_report
 from flowloom.llm.splits import assign_splits
+from flowloom.llm.targets import REPORT, Target, draw, plan_sample, prepared
 from flowloom.session import table
 
 
@@ -37,5 +40,59 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"p2_found": p2_found, "p2_assign": p2_assign, "p2_report": p2_report}
-SQL: dict[str, str] = {}
+FIELDS = ("Attack", "Label")
+
+
+def _targets(spark: SparkSession, sf_dir: str) -> list[Target]:
+    """The table of sampling plans, the same few rows at every scale. Classes are compared by letters and digits, labels as text."""
+    key = F.when(F.col("category_field") == "Attack", canon.word_key("category")).otherwise(F.col("category"))
+    return [Target(**r.asDict()) for r in table(spark, sf_dir, "sampling_targets").withColumn("key", key).collect()]
+
+
+def _plan_rows(spark: SparkSession, sf_dir: str, targets: list[Target]) -> DataFrame:
+    fields = {"Attack": canon.word_key("Attack"), "Label": F.col("Label").cast("string")}
+    return prepared(table(spark, sf_dir, "full_splits"), F.col("source_row_id"), canon.split_name("split"), fields, targets)
+
+
+def p3_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per target: rows available and drawn, and whether the category falls short."""
+    targets = _targets(spark, sf_dir)
+    report = plan_sample(_plan_rows(spark, sf_dir, targets), list(FIELDS), targets)[1]
+    return spark.createDataFrame(report, REPORT)
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets that their split cannot meet."""
+    return p3_report(spark, sf_dir).where("short").select("plan_id", "split", "category")
+
+
+def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows drawn for each plan."""
+    targets = _targets(spark, sf_dir)
+    rows = _plan_rows(spark, sf_dir, targets)
+    quotas, _ = plan_sample(rows, list(FIELDS), targets)
+    return draw(rows, list(FIELDS), targets, quotas).select("plan_id", "source_row_id")
+
+
+def _p3_found_sql() -> str:
+    have = f"""(SELECT count(*) FROM flow WHERE flow.split = t.split AND
+      CASE WHEN t.category_field = 'Attack' THEN word = {canon.word_key_sql("t.category")} ELSE CAST(label AS VARCHAR) = t.category END)"""
+    return f"""
+WITH flow AS (SELECT {canon.split_name_sql("split")} AS split, {canon.word_key_sql("Attack")} AS word, Label AS label FROM full_splits),
+t AS (SELECT *, (SELECT count(*) FROM flow WHERE flow.split = s.split) * sample_pct // 100 AS size FROM sampling_targets s),
+c AS (SELECT *, {have} AS have FROM t)
+SELECT plan_id, split, category FROM c WHERE have * 100 < target_pct * size OR have < min_rows"""
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of a train row and an evaluation row that are the same or almost."""
+    return overlap_pairs(table(spark, sf_dir, "full_splits"))
+
+
+def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evaluation rows that occur in train, counted by split, Dataset and class."""
+    return overlap_report(table(spark, sf_dir, "full_splits"))
+
+
+QUERIES = {"p2_found": p2_found, "p2_assign": p2_assign, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p5_found": p5_found, "p5_report": p5_report}
+SQL = {"p3_found": _p3_found_sql()}
