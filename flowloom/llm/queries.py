@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions import canon
+from flowloom.llm.bpe import encode_documents
 from flowloom.llm.clusters import split_clusters
+from flowloom.llm.mixing import mix
 from flowloom.llm.overlap import overlap_pairs, overlap_report
 from flowloom.llm.splits import assign_splits
+from flowloom.llm.stable import stable_sample, stable_sample_sql
 from flowloom.llm.targets import REPORT, Target, draw, plan_sample, prepared
 from flowloom.session import table
 
@@ -94,5 +97,40 @@ def p5_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap_report(table(spark, sf_dir, "full_splits"))
 
 
-QUERIES = {"p2_found": p2_found, "p2_assign": p2_assign, "p2_report": p2_report, "p3_found": p3_found, "p3_report": p3_report, "p3_sample": p3_sample, "p5_found": p5_found, "p5_report": p5_report}
-SQL = {"p3_found": _p3_found_sql()}
+STABLE_SHARE = 0.1
+
+
+def p1_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the flows, after the late delivery has been added."""
+    return stable_sample([table(spark, sf_dir, t) for t in ("full_splits", "late_flows")], STABLE_SHARE)
+
+
+def p1_before(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same sample before the late delivery."""
+    return stable_sample([table(spark, sf_dir, "full_splits")], STABLE_SHARE)
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The token ids of every document."""
+    return encode_documents(table(spark, sf_dir, "documents"))
+
+
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every copy of a document in each mix."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[0]
+
+
+def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of tokens reached by source in each mix."""
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_sample, p1_before, p2_found, p2_assign, p2_report, p3_found, p3_report, p3_sample, p5_found, p5_report, p6_ids, p7_mix, p7_report)
+}
+SQL = {
+    "p1_sample": stable_sample_sql(["full_splits", "late_flows"], STABLE_SHARE),
+    "p1_before": stable_sample_sql(["full_splits"], STABLE_SHARE),
+    "p3_found": _p3_found_sql(),
+}
