@@ -10,6 +10,7 @@ from flowloom.llm.bpe import encode_documents
 from flowloom.llm.clusters import split_clusters
 from flowloom.llm.mixing import mix
 from flowloom.llm.overlap import overlap_pairs, overlap_report
+from flowloom.llm.quality import Profiles, learn, text_kinds, text_statistics, text_statistics_sql
 from flowloom.llm.splits import assign_splits
 from flowloom.llm.stable import stable_sample, stable_sample_sql
 from flowloom.llm.targets import REPORT, Target, draw, plan_sample, prepared
@@ -125,12 +126,42 @@ def p7_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))[1]
 
 
+def _common(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    """The fixed table of frequent words by language."""
+    out: dict[str, list[str]] = {}
+    for r in table(spark, sf_dir, "common_words").orderBy("lang", "word").collect():
+        out.setdefault(r["lang"], []).append(r["word"])
+    return out
+
+
+def _profiles(spark: SparkSession, sf_dir: str) -> Profiles:
+    return learn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "doc_kinds"), _common(spark, sf_dir))
+
+
+def p8_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kind of every document, its distance from the nearest profile and from prose."""
+    kinds = text_kinds(table(spark, sf_dir, "documents"), _profiles(spark, sf_dir))
+    return kinds.select("doc_id", "kind", F.round("distance", 6).alias("distance"), F.round("prose_divergence", 6).alias("prose_divergence"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are lists, tables or junk."""
+    return text_kinds(table(spark, sf_dir, "documents"), _profiles(spark, sf_dir)).where("kind <> 'prose'").select("doc_id", "kind")
+
+
+def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and shares of every document."""
+    words = [w for ws in _common(spark, sf_dir).values() for w in ws]
+    return text_statistics(table(spark, sf_dir, "documents"), words)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_sample, p1_before, p2_found, p2_assign, p2_report, p3_found, p3_report, p3_sample, p5_found, p5_report, p6_ids, p7_mix, p7_report)
+    for f in (p1_sample, p1_before, p2_found, p2_assign, p2_report, p3_found, p3_report, p3_sample, p5_found, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kinds, p8_stats)
 }
 SQL = {
     "p1_sample": stable_sample_sql(["full_splits", "late_flows"], STABLE_SHARE),
     "p1_before": stable_sample_sql(["full_splits"], STABLE_SHARE),
     "p3_found": _p3_found_sql(),
+    "p8_stats": text_statistics_sql("documents", "common_words"),
 }
