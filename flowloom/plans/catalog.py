@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from flowloom.plans import skew
+from flowloom.plans import skew, validation
 
 FLAGSHIP = "p4_found"
-MODULES = (skew,)
+MODULES = (skew, validation)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
