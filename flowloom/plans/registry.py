@@ -43,7 +43,7 @@ class Registry:
             run.__name__, run.__doc__ = name, f.__doc__
             self.queries[name] = run
             if sql:
-                self.sql[name] = sql.replace("WITH flow", f"WITH {FLOW}", 1) if "WITH flow" in sql else sql
+                self.sql[name] = sql.replace("WITH flow ", f"WITH {FLOW} ", 1) if "WITH flow " in sql else sql
             return f
 
         return add
