@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from flowloom.plans import audit, skew, splitting, validation
+from flowloom.plans import audit, graph, skew, splitting, validation
 
 FLAGSHIP = "p4_found"
-MODULES = (skew, validation, splitting, audit)
+MODULES = (skew, validation, splitting, audit, graph)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
