@@ -94,9 +94,11 @@ class Perceptron:
 
     def fit(self, df: DataFrame, weights: list[float], steps: int = 50, rate: float = 1e-2, vector: str = "x", label: str = "y") -> list[float]:
         """Adam over full passes; returns the mean loss before each step. Each partition sends one gradient, summed by Spark."""
-        size = 2 + sum(a.size for a in self._parts())
-        first, second, losses = np.zeros(size - 2), np.zeros(size - 2), []
+        size = sum(a.size for a in self._parts())
+        first, second, losses = np.zeros(size), np.zeros(size), []
         data = df.select(vector, label)
+        if data.isEmpty():
+            raise ValueError("no rows to train on")
         for step in range(1, steps + 1):
             model, cw = self, np.asarray(weights)
 
@@ -111,8 +113,6 @@ class Perceptron:
                     yield pa.RecordBatch.from_arrays([lists(total[None], pa.float64())], names=["g"])
 
             summed = data.mapInArrow(run, "g array<double>").agg(Summarizer.sum(array_to_vector("g")).alias("g")).first()["g"]
-            if summed is None:
-                raise ValueError("no rows to train on")
             g = summed.toArray()
             losses.append(g[0] / g[1])
             d = g[2:] / g[1]

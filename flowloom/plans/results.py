@@ -137,7 +137,7 @@ def prediction_output(t: Tables) -> DataFrame:
 
 @Q("a33_timing_windows", """
 WITH w AS (SELECT avg(p_attack) AS m FROM predictions WHERE row_offset >= 50 GROUP BY (row_offset - 50) // 50 HAVING count(*) = 50), s AS (SELECT quantile_cont(m, 0.5) AS med FROM w)
-SELECT 'all' AS run, count(*) AS windows, round(quantile_cont(m, 0.5), 9) AS median, round(quantile_cont(m, 0.9), 9) AS p90, round((SELECT quantile_cont(abs(m - med), 0.5) FROM w, s), 9) AS mad FROM w""")
+SELECT 'all' AS run, count(*) AS windows, round(quantile_cont(m, 0.5), 9) AS median, round(quantile_cont(m, 0.9), 9) AS p90, round((SELECT quantile_cont(abs(m - med), 0.5) FROM w, s), 9) AS mad FROM w HAVING count(*) > 0""")
 def timing(t: Tables) -> DataFrame:
     """Robust timing of full windows after a warm-up, on the predictions as a series of batches."""
     return R.timing_windows(t.predictions.withColumn("run", F.lit("all")), ["run"], "row_offset", "p_attack")
