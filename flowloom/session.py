@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -34,6 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     at = tempfile.mkdtemp(prefix="flowloom-")
+    atexit.register(shutil.rmtree, at, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", at)
     return at
 
