@@ -7,6 +7,7 @@ gradients of all partitions. Aggregation over neighbours stays in the JVM.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,11 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flowloom.functions.hashing import digest
+from flowloom.operators.skew import ordinals
+from flowloom.operators.splitting import top_per_group
+from flowloom.session import materialize
+
 HIDDEN = 128
 
 
@@ -177,6 +183,115 @@ class Sage:
         return with_array(j, ["from_src", "from_dst", vector], "p", lambda s, d, x: softmax(s + d + x @ own + w["b"])).select("source_row_id", "p")
 
 
+def sampled_batches(messages: DataFrame, edges: DataFrame, batch_size: int, fanout: tuple[int, int], seed: int, most: int | None = None) -> DataFrame:
+    """(batch, kind, a, b, x, y): seed edges (kind 0) in hashed order and the sampled incoming edges of each hop (kinds 1, 2) of every batch.
+
+    A batch of n seed edges has at most 2n x (1 + fanout[0] + fanout[0] x fanout[1]) rows, so a group fits in a task. edges: source_row_id,
+    src, dst, x, y; messages: source_row_id, src, dst, reverse, x.
+    """
+    count = edges.count()
+    batches = max(1, -(-count // batch_size))
+    key = F.col("source_row_id").cast("string")
+    placed = ordinals(edges.withColumn("_h", digest(key, seed)), [], ["_h", "source_row_id"], "_at")
+    at = F.floor(F.col("_at") / batch_size).cast("int")
+    seeds = placed.select(at.alias("batch"), "src", "dst", "x", "y").where(F.col("batch") < (batches if most is None else most))
+    out = [seeds.select("batch", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "x", "y")]
+    frontier = seeds.select("batch", F.explode(F.array("src", "dst")).alias("dst")).distinct()
+    for hop, k in enumerate(fanout, 1):
+        h = digest(F.concat_ws("|", F.col("batch").cast("string"), key, F.col("reverse").cast("string")), f"{seed}|{hop}")
+        got = top_per_group(messages.join(frontier, "dst"), ["batch", "dst"], [h, F.col("source_row_id"), F.col("reverse")], k)
+        got = materialize(got.select("batch", "src", "dst", "x"), "hop")
+        out.append(got.select("batch", F.lit(hop).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "x", F.lit(None).cast("int").alias("y")))
+        frontier = got.select("batch", F.col("src").alias("dst")).distinct().join(frontier, ["batch", "dst"], "left_anti") if hop < len(fanout) else frontier
+        if hop < len(fanout):
+            # Nodes of the first frontier need their own first-layer state too.
+            frontier = frontier.unionByName(seeds.select("batch", F.explode(F.array("src", "dst")).alias("dst")).distinct())
+    return reduce(DataFrame.unionByName, out)
+
+
+def sage_gradients(model: Sage, pdf: pd.DataFrame, class_weights: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """Loss, weight and gradient sums of one sampled batch, flat in the order of the sorted weight names.
+
+    Layer 1 is computed for every node from the hop-2 edges into it, layer 2 for the end points of the seed edges from the hop-1 edges.
+    """
+    w, f, h = model.weights, model.features, model.hidden
+    seeds, one, two = (pdf[pdf.kind == k] for k in (0, 1, 2))
+    names = pd.Index(pd.unique(pd.concat([seeds.a, seeds.b, one.a, one.b, two.a, two.b])))
+    n = len(names)
+    mat = lambda d: np.stack([np.asarray(v, float) for v in d.x]) if len(d) else np.zeros((0, f))
+    s, t, y, x0 = names.get_indexer(seeds.a), names.get_indexer(seeds.b), seeds.y.to_numpy(int), mat(seeds)
+
+    def mean(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        total, count = np.zeros((n, values.shape[1])), np.bincount(index, minlength=n).astype(float)
+        np.add.at(total, index, values)
+        return total / np.maximum(count, 1)[:, None], count[:, None]
+
+    into2, from1, into1 = names.get_indexer(two.b), names.get_indexer(one.a), names.get_indexer(one.b)
+    ones, x1 = np.ones((n, f)), mat(one)
+    z1, c1 = mean(into2, np.concatenate([np.ones((len(two), f)), mat(two)], 1))
+    u1 = (z1 @ w["m1"] + w["bm1"]) * (c1 > 0)
+    in1 = np.concatenate([ones, u1], 1)
+    h1 = np.maximum(in1 @ w["a1"] + w["ba1"], 0)
+    z2, c2 = mean(into1, np.concatenate([h1[from1], x1], 1))
+    u2 = (z2 @ w["m2"] + w["bm2"]) * (c2 > 0)
+    in2 = np.concatenate([h1, u2], 1)
+    h2 = np.maximum(in2 @ w["a2"] + w["ba2"], 0)
+    own = w["e"] if model.use_edge else np.zeros_like(w["e"])
+    p = softmax(h2[s] @ w["s"] + h2[t] @ w["d"] + x0 @ own + w["b"])
+    rows, cw = np.arange(len(y)), class_weights[y]
+    loss = -(cw * np.log(np.maximum(p[rows, y], 1e-12))).sum()
+    p[rows, y] -= 1
+    p *= cw[:, None]
+    g = {"s": h2[s].T @ p, "d": h2[t].T @ p, "e": x0.T @ p if model.use_edge else np.zeros_like(w["e"]), "b": p.sum(0)}
+    d2 = np.zeros((n, h))
+    np.add.at(d2, s, p @ w["s"].T)
+    np.add.at(d2, t, p @ w["d"].T)
+    d2 *= h2 > 0
+    g |= {"a2": in2.T @ d2, "ba2": d2.sum(0)}
+    back = d2 @ w["a2"].T
+    d1, du2 = back[:, :h].copy(), back[:, h:] * (c2 > 0)
+    g |= {"m2": z2.T @ du2, "bm2": du2.sum(0)}
+    dz2 = (du2 @ w["m2"].T)[:, :h] / np.maximum(c2, 1)
+    np.add.at(d1, from1, dz2[into1])
+    d1 *= h1 > 0
+    g |= {"a1": in1.T @ d1, "ba1": d1.sum(0)}
+    du1 = (d1 @ w["a1"].T)[:, f:] * (c1 > 0)
+    g |= {"m1": z1.T @ du1, "bm1": du1.sum(0)}
+    order = sorted(w)
+    return np.concatenate([[loss, cw.sum()], *[np.ravel(g[k]) for k in order]]), order
+
+
+def _batch_gradient(model: Sage, class_weights: np.ndarray):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"g": [list(sage_gradients(model, pdf, class_weights)[0])]})
+
+    return run
+
+
+def fit_sage(model: Sage, edges: DataFrame, messages: DataFrame, class_weights: list[float], passes: int = 2, batch_size: int = 4096, fanout: tuple[int, int] = (15, 10), together: int = 8, rate: float = 1e-3, seed: int = 11) -> list[float]:
+    """Mini-batch training on sampled neighbourhoods: `together` batches at a time are differentiated in parallel and their gradients summed for one Adam step.
+
+    Returns the mean loss of each step. Batches are reshuffled and resampled in each pass; only gradients reach the driver.
+    """
+    size = sum(a.size for a in model.weights.values())
+    first, second, losses, step, cw = np.zeros(size), np.zeros(size), [], 0, np.asarray(class_weights)
+    batches = max(1, -(-edges.count() // batch_size))
+    for turn in range(passes):
+        drawn = materialize(sampled_batches(messages, edges, batch_size, fanout, seed + turn), "batches")
+        for at in range(0, batches, together):
+            some = drawn.where(F.col("batch").between(at, at + together - 1)).groupBy("batch").applyInPandas(_batch_gradient(model, cw), "g array<double>")
+            g = some.agg(Summarizer.sum(array_to_vector("g")).alias("g")).first()["g"].toArray()
+            losses.append(g[0] / g[1])
+            step, d, place = step + 1, g[2:] / g[1], 0
+            first, second = 0.9 * first + 0.1 * d, 0.999 * second + 0.001 * d * d
+            move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+            for k in sorted(model.weights):
+                a = model.weights[k]
+                model.weights[k] = a - move[place : place + a.size].reshape(a.shape)
+                place += a.size
+    return losses
+
+
 def fit_forest(rows: DataFrame, vector: str, label: str, weight: str | None, trees: int = 25, depth: int = 16, seed: int = 11):
     """A random forest of spark.ml with the published size: square root of the features at a split, optional balanced weights."""
     data = rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), *([F.col(weight)] if weight else []))

@@ -70,6 +70,16 @@ def sage_edge(t: Tables) -> DataFrame:
     return _sage(t, True).select("source_row_id", F.round(F.col("p")[1].cast("double"), 3).alias("p_attack"))
 
 
+@Q("g6_chunked_inference")
+def chunked(t: Tables) -> DataFrame:
+    """Inference over val in one partition and in many: partitions take the place of chunks, so the results must agree."""
+    _, rows = prepared(t, *schema.ENDPOINTS)
+    edges = materialize(G.label_edges(rows.where("split = 'val'"), "x"), "edges")
+    model = L.Sage(len(schema.FEATURES), 2, 11)
+    one, many = (model.edge_probabilities(edges.repartition(n), G.message_edges(edges.repartition(n))).select("source_row_id", F.col("p")[1].alias(f"p{n}")) for n in (1, 23))
+    return one.join(many, "source_row_id").agg(F.count(F.lit(1)).alias("rows"), (F.max(F.abs(F.col("p1") - F.col("p23"))) < 1e-4).alias("equal"))
+
+
 @Q("m9_rewired_scores")
 def rewired_scores(t: Tables) -> DataFrame:
     """The same weights scored on val as it is and rewired: mean probability under both conditions."""
@@ -86,6 +96,18 @@ def unlabelled(t: Tables) -> DataFrame:
     return L.Sage(len(schema.FEATURES), 2, 11).edge_probabilities(edges, G.message_edges(edges)).select("source_row_id", argmax(F.col("p")).alias("y_pred"))
 
 
+@Q("m2_sage_training")
+def sage_training(t: Tables) -> DataFrame:
+    """One pass of mini-batch training over the graph of train: the mean loss before each step."""
+    _, rows = prepared(t, *schema.ENDPOINTS)
+    bounded = F.transform("x", lambda v: F.greatest(F.least(v, F.lit(10.0).cast("float")), F.lit(-10.0).cast("float")))
+    rows = materialize(rows.where("split = 'train'").withColumn("x", bounded), "rows")
+    edges = materialize(G.label_edges(rows, "x", "y"), "edges")
+    model = L.Sage(len(schema.FEATURES), 2, 11)
+    losses = L.fit_sage(model, edges, G.message_edges(edges.drop("y")), _weights(rows), passes=1, batch_size=1024, together=16)
+    return t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "step int, loss double")
+
+
 @Q("m3_random_forest")
 def forest(t: Tables) -> DataFrame:
     """A balanced forest of 25 trees of depth 16 trained on train and scored on test."""

@@ -66,6 +66,12 @@ def order_hash(t: Tables) -> DataFrame:
     return t.full_splits.select("source_row_id", digest(F.concat_ws("|", "flow_group_id", F.col("source_row_id").cast("string")), splitting.PILOT_SEED).alias("h"))
 
 
+@Q("h7_permutation_hash", f"SELECT source_row_id, {hash60_sql('source_row_id', 20260928)} AS h FROM full_splits")
+def permutation_hash(t: Tables) -> DataFrame:
+    """The hash by which destinations are permuted; ties go by row id."""
+    return t.full_splits.select("source_row_id", hash60(F.col("source_row_id"), 20260928).alias("h"))
+
+
 @Q("h8_endpoint_key", "SELECT source_row_id, concat_ws('|', Dataset, IPV4_DST_ADDR || ':' || CAST(L4_DST_PORT AS VARCHAR)) AS dst FROM full_splits")
 def endpoint_key(t: Tables) -> DataFrame:
     """Endpoints as Dataset|ip:port."""
@@ -146,6 +152,13 @@ def sorted_rows(t: Tables) -> DataFrame:
     return t.full_splits.select("source_row_id", "Attack").orderBy("source_row_id")
 
 
+@Q("t7_ordered_output", "SELECT Dataset, Attack, count(*) AS n FROM full_splits GROUP BY ALL ORDER BY n DESC, Dataset, Attack")
+def ordered_output(t: Tables) -> DataFrame:
+    """Counts in a stable order for output."""
+    n = t.full_splits.groupBy("Dataset", "Attack").agg(audit.n_rows().alias("n"))
+    return n.orderBy(F.col("n").desc(), F.col("Dataset").asc_nulls_last(), F.col("Attack").asc_nulls_last())
+
+
 _T11 = """
 WITH r AS (SELECT source_row_id, Attack, (row_number() OVER (PARTITION BY Attack ORDER BY {h}, source_row_id) - 0.5) / count(*) OVER (PARTITION BY Attack) AS pos FROM full_splits)
 SELECT source_row_id, CASE WHEN pos <= 0.7 + 1e-12 THEN 'train' WHEN pos <= 0.8 + 1e-12 THEN 'val' ELSE 'test' END AS part FROM r"""

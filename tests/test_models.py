@@ -95,3 +95,54 @@ def test_preprocessor(flows):
         p.labels(flows([{"Attack": "new"}])).select("y").collect()
     with pytest.raises(ValueError):
         Preprocessor.fit(flows([{"IN_BYTES": None}]), ["IN_BYTES"], "binary")
+
+
+def labelled(spark, n=200):
+    r = np.random.default_rng(8)
+    rows = []
+    for i in range(n):
+        hot = int(r.random() < 0.5)
+        rows.append((i, f"s{r.integers(8)}{'h' * hot}", f"d{r.integers(8)}", [float(v) for v in r.normal(2.0 * hot, 1.0, 3)], hot))
+    return spark.createDataFrame(rows, "source_row_id bigint, src string, dst string, x array<float>, y int")
+
+
+def test_sampled_batches_are_bounded(spark):
+    e = labelled(spark)
+    b = L.sampled_batches(G.message_edges(e.drop("y")), e, 50, (3, 2), 1).toPandas()
+    assert sorted(b.batch.unique()) == [0, 1, 2, 3] and (b.kind == 0).sum() == 200
+    assert b[b.kind == 1].groupby(["batch", "b"]).size().max() <= 3 and b[b.kind == 2].groupby(["batch", "b"]).size().max() <= 2
+
+
+def test_sage_gradient_is_the_derivative(spark):
+    e = labelled(spark, 40)
+    pdf = L.sampled_batches(G.message_edges(e.drop("y")), e, 40, (4, 3), 1).toPandas()
+    model, cw = L.Sage(3, 2, 1, True, hidden=4), np.array([1.0, 2.0])
+    g, order = L.sage_gradients(model, pdf, cw)
+    place = 2
+    for k in order:
+        a = model.weights[k]
+        old, eps = a.flat[-1], 1e-6
+        a.flat[-1] = old + eps
+        up = L.sage_gradients(model, pdf, cw)[0][0]
+        a.flat[-1] = old - eps
+        down = L.sage_gradients(model, pdf, cw)[0][0]
+        a.flat[-1] = old
+        place += a.size
+        assert abs((up - down) / (2 * eps) - g[place - 1]) < 1e-4, k
+
+
+def test_unsampled_batch_equals_full_inference(spark):
+    e = labelled(spark, 60)
+    m = G.message_edges(e.drop("y"))
+    model = L.Sage(3, 2, 3, hidden=6)
+    full = {r["source_row_id"]: r["p"] for r in model.edge_probabilities(e, m).collect()}
+    want = -sum(np.log(full[r["source_row_id"]][r["y"]]) for r in e.collect())
+    pdf = L.sampled_batches(m, e, 60, (10_000, 10_000), 1).toPandas()
+    assert abs(L.sage_gradients(model, pdf, np.ones(2))[0][0] - want) < 1e-3
+
+
+def test_sage_learns(spark):
+    e = labelled(spark)
+    model = L.Sage(3, 2, 1, True, hidden=8)
+    losses = L.fit_sage(model, e, G.message_edges(e.drop("y")), [1.0, 1.0], passes=8, batch_size=50, fanout=(5, 3), together=2, rate=0.03)
+    assert len(losses) == 16 and np.mean(losses[-3:]) < 0.7 * losses[0]
