@@ -219,3 +219,22 @@ def overlap_report(flows: DataFrame) -> DataFrame:
     rows = flows.select(F.col("source_row_id").alias("id"), canon.split_name("split").alias("split"), canon.word_key("Dataset").alias("dataset"), canon.word_key("Attack").alias("attack"))
     rows = rows.where("split IN ('val', 'test')").join(hit, "id", "left")
     return rows.groupBy("split", "dataset", "attack").agg(F.count(F.lit(1)).alias("rows"), F.count("hit").alias("in_train"))
+
+
+def overlap_pairs_sql(table: str) -> str:
+    """`overlap_pairs` in SQL for DuckDB: every train row against every evaluation row, field by field."""
+    value = lambda f: canon.host_number_sql(f) if f.startswith("IPV4_") else f
+    cols = ", ".join(f"{value(f)} AS f{i}" for i, f in enumerate(FIELDS))
+    apart = " + ".join(f"(a.f{i} IS DISTINCT FROM b.f{i})::INT" for i in range(len(FIELDS)))
+    return f"""
+WITH flow AS MATERIALIZED (SELECT source_row_id AS id, {canon.split_name_sql("split")} AS split, {canon.group_key_sql("flow_group_id")} AS g, {cols} FROM {table}),
+a AS MATERIALIZED (SELECT * FROM flow WHERE split = 'train'), b AS MATERIALIZED (SELECT * FROM flow WHERE split IN ('val', 'test'))
+SELECT DISTINCT least(a.id, b.id) AS row_id_a, greatest(a.id, b.id) AS row_id_b FROM a JOIN b ON a.g = b.g OR {apart} <= {MAX_DIFFERENT}"""
+
+
+def overlap_report_sql(table: str) -> str:
+    """`overlap_report` in SQL for DuckDB."""
+    return f"""
+WITH pairs AS ({overlap_pairs_sql(table)}), hit AS (SELECT DISTINCT unnest([row_id_a, row_id_b]) AS id FROM pairs)
+SELECT {canon.split_name_sql("split")} AS split, {canon.word_key_sql("Dataset")} AS dataset, {canon.word_key_sql("Attack")} AS attack, count(*) AS rows, count(hit.id) AS in_train
+FROM (SELECT * FROM {table} WHERE {canon.split_name_sql("split")} IN ('val', 'test')) f LEFT JOIN hit ON hit.id = f.source_row_id GROUP BY ALL"""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import canon
 from flowloom.llm.bpe import encode_documents
-from flowloom.llm.clusters import split_clusters
+from flowloom.llm.clusters import split_clusters, split_clusters_sql
 from flowloom.llm.mixing import mix
-from flowloom.llm.overlap import overlap_pairs, overlap_report
+from flowloom.llm.overlap import overlap_pairs, overlap_pairs_sql, overlap_report, overlap_report_sql
 from flowloom.llm.quality import Profiles, learn, text_kinds, text_statistics, text_statistics_sql
 from flowloom.llm.splits import assign_splits
 from flowloom.llm.stable import stable_sample, stable_sample_sql
@@ -162,6 +162,9 @@ QUERIES = {
 SQL = {
     "p1_sample": stable_sample_sql(["full_splits", "late_flows"], STABLE_SHARE),
     "p1_before": stable_sample_sql(["full_splits"], STABLE_SHARE),
+    "p2_found": split_clusters_sql("full_splits"),
     "p3_found": _p3_found_sql(),
+    "p5_found": overlap_pairs_sql("full_splits"),
+    "p5_report": overlap_report_sql("full_splits"),
     "p8_stats": text_statistics_sql("documents", "common_words"),
 }
