@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import json
 import os
+from array import array
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import functions as F
 TOKENIZER = os.environ.get("FLOWLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 # Fixed value: the pattern that cuts words for byte-level BPE of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BATCH_ROWS = 4096
+BATCH_ROWS, BATCH_BYTES = 4096, 4_000_000  # encoded at a time; a longer text is a batch of its own, whole
 LONG_WORD = 512  # bytes; longer words contract every place of their pair of minimum rank at once, which ends in far fewer rounds
 
 CONTRACT = """
@@ -78,6 +80,21 @@ def vocabulary(path: str) -> tuple[list[int], pa.Table]:
     return of_byte, pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
 
 
+def _column(values: array) -> pa.Array:
+    return pa.array(np.frombuffer(values, np.int64)) if values else pa.array([], pa.int64())
+
+
+def slices(sizes: list[int]) -> list[tuple[int, int]]:
+    """Runs (start, length) of rows of at most BATCH_ROWS rows and, but for a single row, BATCH_BYTES bytes."""
+    out, start, total = [], 0, 0
+    for i, n in enumerate(sizes):
+        if i > start and (total + n > BATCH_BYTES or i - start >= BATCH_ROWS):
+            out.append((start, i - start))
+            start, total = i, 0
+        total += n
+    return [*out, (start, len(sizes) - start)] if sizes else out
+
+
 class Encoder:
     """Encodes batches of texts in one DuckDB connection; words seen before are not encoded again."""
 
@@ -94,12 +111,12 @@ class Encoder:
         self.index: dict[str, int] = {}
 
     def _contract(self, words: list[tuple[int, bytes]], query: str) -> None:
-        w, pos, tok = [], [], []
+        w, pos, tok = array("q"), array("q"), array("q")
         for i, raw in words:
-            w += [i] * len(raw)
-            pos += range(len(raw))
-            tok += [self.of_byte[b] for b in raw]
-        self.con.register("rows", pa.table({"w": pa.array(w, pa.int64()), "pos": pa.array(pos, pa.int64()), "tok": pa.array(tok, pa.int64())}))
+            w.extend([i] * len(raw))
+            pos.extend(range(len(raw)))
+            tok.extend([self.of_byte[b] for b in raw])
+        self.con.register("rows", pa.table({"w": _column(w), "pos": _column(pos), "tok": _column(tok)}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE bytes_of_words AS SELECT * FROM rows")
         self.con.execute(f"INSERT INTO encoded {query}")
         self.con.unregister("rows")
@@ -109,7 +126,7 @@ class Encoder:
         if len(self.index) > self.kept_words:
             self.index.clear()
             self.con.execute("DELETE FROM encoded")
-        docs, seqs, words, fresh = [], [], [], []
+        docs, seqs, words, fresh = array("q"), array("q"), array("q"), []
         for d, text in enumerate(texts):
             for s, word in enumerate(self.words(text) if text else ()):
                 i = self.index.get(word)
@@ -122,7 +139,7 @@ class Encoder:
         for query, own in ((CONTRACT, [x for x in fresh if len(x[1]) <= LONG_WORD]), (CONTRACT_LONG, [x for x in fresh if len(x[1]) > LONG_WORD])):
             if own:
                 self._contract(own, query)
-        self.con.register("occ", pa.table({"d": pa.array(docs, pa.int64()), "seq": pa.array(seqs, pa.int64()), "w": pa.array(words, pa.int64())}))
+        self.con.register("occ", pa.table({"d": _column(docs), "seq": _column(seqs), "w": _column(words)}))
         self.con.execute("CREATE OR REPLACE TEMP TABLE occurrences AS SELECT * FROM occ")
         got = self.con.sql(ASSEMBLE).to_arrow_table()
         self.con.unregister("occ")
@@ -138,8 +155,8 @@ def _run(path: str, lengths: bool):
         for b in batches:
             if encoder is None and b.num_rows:
                 encoder = Encoder(path)
-            for at in range(0, b.num_rows, BATCH_ROWS):
-                part = b.slice(at, BATCH_ROWS)
+            for at, n in slices(pc.fill_null(pc.binary_length(b.column(0)), 0).to_pylist()):
+                part = b.slice(at, n)
                 ids = encoder.encode(part.column(0).to_pylist())
                 kept = [part.column(i) for i in range(1, part.num_columns)]
                 last = pc.list_value_length(ids).cast(pa.int64()) if lengths else ids

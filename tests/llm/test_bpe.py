@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowloom.llm.bpe import LONG_WORD, TOKENIZER, Encoder, encode_documents
+from flowloom.llm.bpe import BATCH_BYTES, BATCH_ROWS, LONG_WORD, TOKENIZER, Encoder, encode_documents, slices
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
 
@@ -64,3 +64,9 @@ def test_real_documents(spark, small, library):
     texts = {r["doc_id"]: r["text"] for r in docs.select("doc_id", "text").collect()}
     got = {r["doc_id"]: r["ids"] for r in encode_documents(docs).collect()}
     assert got == dict(zip(texts, library(list(texts.values()))))
+
+
+def test_slices_cover_all_rows():
+    assert slices([]) == []
+    assert slices([1, BATCH_BYTES + 5, 2, BATCH_BYTES, 0]) == [(0, 1), (1, 1), (2, 1), (3, 2)]
+    assert slices([0] * (BATCH_ROWS + 1)) == [(0, BATCH_ROWS), (BATCH_ROWS, 1)]
