@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from flowloom import schema
 from flowloom.functions.hashing import digest_sql, hash60_sql
-from flowloom.functions.scalar import close, relu, signed_log1p, z_score
+from flowloom.functions.scalar import close, dot, relu, signed_log1p, z_score
 from flowloom.operators import features as X
 from flowloom.operators import graph as G
-from flowloom.operators.audit import n_rows
+from flowloom.operators.audit import beside, n_rows
+from flowloom.operators.skew import ordinals
 from flowloom.plans.registry import Registry, Tables
 
 Q = Registry()
@@ -84,8 +85,6 @@ def fill_range(t: Tables) -> DataFrame:
 @Q("f11_linear_relu", "SELECT source_row_id, round(greatest(0.5 * IN_PKTS - 0.25 * OUT_PKTS - 1.0, 0), 6) AS h FROM full_splits WHERE IN_PKTS IS NOT NULL AND OUT_PKTS IS NOT NULL")
 def linear_relu(t: Tables) -> DataFrame:
     """One hidden unit in expressions: matrix row times vector, bias, rectifier."""
-    from flowloom.functions.scalar import dot
-
     x = F.array(F.col("IN_PKTS").cast("double"), F.col("OUT_PKTS").cast("double"))
     w = F.array(F.lit(0.5), F.lit(-0.25))
     return t.full_splits.where("IN_PKTS IS NOT NULL AND OUT_PKTS IS NOT NULL").select("source_row_id", F.round(relu(dot(w, x) - 1.0), 6).alias("h"))
@@ -207,8 +206,6 @@ def unseen(t: Tables) -> DataFrame:
 @Q("g12_diagnostics", f"WITH flow , {_E}, {_DEG}, {_PAIR}, {_SEEN} SELECT (SELECT max(degree) FROM d) AS most, (SELECT round(sum(top) / sum(flows), 9) FROM p) AS ceiling, (SELECT count(*) FROM x WHERE s OR d) AS any_unseen")
 def diagnostics(t: Tables) -> DataFrame:
     """Structure of the graph in one row."""
-    from flowloom.operators.audit import beside
-
     e = edges(t)
     return beside(G.degree_stats(e).select("most"), G.pair_classes(e, "Attack").select("ceiling"), G.unseen_endpoints(e.where("split = 'test'"), e.where("split = 'train'")).select("any_unseen"))
 
@@ -247,8 +244,6 @@ def rewire(t: Tables) -> DataFrame:
 @Q("t3_permutation", f"WITH flow , {_NEW} SELECT source_row_id, i AS place FROM p")
 def permutation(t: Tables) -> DataFrame:
     """The 1-based place of each row in its Dataset and split."""
-    from flowloom.operators.skew import ordinals
-
     d = ordinals(t.flow.select("Dataset", "split", "source_row_id"), ["Dataset", "split"], ["source_row_id"], "place")
     return d.select("source_row_id", (F.col("place") + 1).alias("place"))
 
@@ -277,8 +272,6 @@ def self_loops(t: Tables) -> DataFrame:
 @Q("j2_position_zip", "WITH a AS (SELECT source_row_id, row_number() OVER (ORDER BY source_row_id) AS i FROM full_splits), b AS (SELECT source_row_id AS other, row_number() OVER (ORDER BY source_row_id DESC) AS i FROM full_splits) SELECT source_row_id, other FROM a JOIN b USING (i)")
 def position_zip(t: Tables) -> DataFrame:
     """Two orders of one table put side by side by position."""
-    from flowloom.operators.skew import ordinals
-
     ids = t.full_splits.select("source_row_id")
     a = ordinals(ids, [], ["source_row_id"], "i")
     b = ordinals(ids.select((-F.col("source_row_id")).alias("neg")), [], ["neg"], "i").select((-F.col("neg")).alias("other"), "i")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from flowloom import schema
 from flowloom.operators import validation as V
 from flowloom.operators.audit import n_rows
 from flowloom.plans.registry import Registry, Tables
-from flowloom.plans.validation import RAW, TAG
+from flowloom.plans.validation import RAW, TAG, raw
 from flowloom.session import shared_dir
 from flowloom.sources import readers, sinks
 
@@ -158,8 +159,6 @@ def routed_write(t: Tables) -> DataFrame:
 @Q("k3_quarantine_write", f"WITH {RAW} SELECT {TAG} AS rejection_reasons, count(*) AS n FROM raw WHERE {TAG} <> '' GROUP BY 1")
 def quarantine_write(t: Tables) -> DataFrame:
     """Rejected rows written aside with their reasons."""
-    from flowloom.plans.validation import raw
-
     path = folder(t, "rejected")
     sinks.quarantine(V.clean_and_rejected(raw(t))[1], path)
     return t.spark.read.parquet(path).groupBy("rejection_reasons").agg(n_rows().alias("n"))
@@ -176,8 +175,6 @@ def atomic_publish(t: Tables) -> DataFrame:
 @Q("k5_refuse_overwrite", "SELECT true AS refused")
 def refuse_overwrite(t: Tables) -> DataFrame:
     """A second write to the same folder is refused."""
-    from pyspark.errors import AnalysisException
-
     path = _partitioned(t)
     try:
         sinks.partitioned(t.flow.select("source_row_id", "split"), path, "split")
