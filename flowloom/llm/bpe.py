@@ -18,10 +18,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.batches import slices
+
 TOKENIZER = os.environ.get("FLOWLOOM_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.json")
 # Fixed value: the pattern that cuts words for byte-level BPE of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-BATCH_ROWS, BATCH_BYTES = 4096, 4_000_000  # encoded at a time; a longer text is a batch of its own, whole
 LONG_WORD = 512  # bytes; longer words contract every place of their pair of minimum rank at once, which ends in far fewer rounds
 
 CONTRACT = """
@@ -84,17 +85,6 @@ def _column(values: array) -> pa.Array:
     return pa.array(np.frombuffer(values, np.int64)) if values else pa.array([], pa.int64())
 
 
-def slices(sizes: list[int]) -> list[tuple[int, int]]:
-    """Runs (start, length) of rows of at most BATCH_ROWS rows and, but for a single row, BATCH_BYTES bytes."""
-    out, start, total = [], 0, 0
-    for i, n in enumerate(sizes):
-        if i > start and (total + n > BATCH_BYTES or i - start >= BATCH_ROWS):
-            out.append((start, i - start))
-            start, total = i, 0
-        total += n
-    return [*out, (start, len(sizes) - start)] if sizes else out
-
-
 class Encoder:
     """Encodes batches of texts in one DuckDB connection; words seen before are not encoded again."""
 

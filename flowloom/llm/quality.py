@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.llm.batches import slices
+
 MAX_LABELLED = 8000  # labelled texts that profiles are learnt from; more are thinned by a hash of their id
 MAX_PROFILES = 192  # profiles of a kind at most
 RADIUS = 0.015  # texts of one kind nearer than this to a profile are taken into it
@@ -251,8 +253,9 @@ def _classify(profiles: Profiles):
             texts = [t if isinstance(t, str) and _TEXT.search(t) else None for t in pdf["text"]]
             at = [i for i, t in enumerate(texts) if t is not None]
             kinds, far, prose = np.full(len(texts), None, object), np.full(len(texts), np.nan), np.full(len(texts), np.nan)
-            if at:
-                kinds[at], far[at], prose[at] = profiles.kind_of([texts[i] for i in at])
+            for start, n in slices([len(texts[i]) for i in at]):
+                part = at[start : start + n]
+                kinds[part], far[part], prose[part] = profiles.kind_of([texts[i] for i in part])
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "kind": kinds, "distance": far, "prose_divergence": prose})
 
     return run

@@ -5,7 +5,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from flowloom.llm.bpe import BATCH_BYTES, BATCH_ROWS, LONG_WORD, TOKENIZER, Encoder, encode_documents, slices
+from flowloom.llm.batches import BATCH_BYTES, BATCH_ROWS, slices
+from flowloom.llm.bpe import LONG_WORD, TOKENIZER, Encoder, encode_documents
 
 pytestmark = pytest.mark.skipif(not os.path.exists(TOKENIZER), reason="no tokenizer file")
 
