@@ -35,12 +35,13 @@ def port_invalid(c: str) -> Column:
     return F.coalesce(~v.between(0, 65535) | (v % 1 != 0), F.lit(True))
 
 
-def reason_columns() -> dict[str, Column]:
-    """A condition for each reason, never null."""
+def reason_columns(raw: DataFrame) -> dict[str, Column]:
+    """A condition for each reason, never null. Whole-number columns can only be null, so only the others are tested for NaN and infinity."""
     attack = F.coalesce(F.col("Attack"), F.lit(""))
+    whole = {c for c, t in raw.dtypes if t in ("bigint", "int", "smallint", "tinyint")}
     return {
         "missing": any_of([F.col(c).isNull() for c in RAW_COLUMNS]),
-        "nonfinite": any_of([nonfinite(c) for c in NUMERIC_COLUMNS]),
+        "nonfinite": any_of([F.col(c).isNull() if c in whole else nonfinite(c) for c in NUMERIC_COLUMNS]),
         "port_invalid": port_invalid(SRC_PORT) | port_invalid(DST_PORT),
         "ip_invalid": ~strict_ipv4(SRC_IP) | ~strict_ipv4(DST_IP),
         "dataset_invalid": ~F.coalesce(F.col("Dataset").isin(*DATASETS), F.lit(False)),
@@ -52,14 +53,14 @@ def reason_columns() -> dict[str, Column]:
 def tagged(raw: DataFrame) -> DataFrame:
     """raw with `rejection_reasons`, the reasons joined by | in their fixed order; empty for a clean row."""
     require_columns(raw, RAW_COLUMNS)
-    conditions = reason_columns()
+    conditions = reason_columns(raw)
     return raw.withColumn("rejection_reasons", F.concat_ws("|", *[F.when(conditions[r], r) for r in REASONS]))
 
 
 def clean_and_rejected(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Clean rows without the tag, and rejected rows with it."""
-    t = tagged(raw)
-    return t.where("rejection_reasons = ''").drop("rejection_reasons"), t.where("rejection_reasons <> ''")
+    """Clean rows without the tag, and rejected rows with it. The reasons are put together for rejected rows only."""
+    bad = any_of(list(reason_columns(raw).values()))
+    return raw.where(~bad), tagged(raw.where(bad))
 
 
 def reason_counts(t: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def raw(t: Tables) -> DataFrame:
 for _id, _reason in zip(("p1_missing", "p2r_nonfinite", "p3r_port_invalid", "p4r_ip_invalid", "p5r_dataset_invalid", "p6r_attack_empty", "p7r_label_invalid"), V.REASONS, strict=True):
     # p1..p8 with a plain number belong to the numbered problems; rows of the survey that share the letter get an r.
     _id = _id.replace("p1_", "p1r_")
-    Q(_id, f"WITH {RAW} SELECT source_row_id FROM raw WHERE {CONDITIONS[_reason]}")(lambda t, r=_reason: raw(t).where(V.reason_columns()[r]).select("source_row_id"))
+    Q(_id, f"WITH {RAW} SELECT source_row_id FROM raw WHERE {CONDITIONS[_reason]}")(lambda t, r=_reason: raw(t).where(V.reason_columns(raw(t))[r]).select("source_row_id"))
 
 
 @Q("p8r_quarantine", f"WITH {RAW} SELECT source_row_id, {TAG} AS rejection_reasons FROM raw WHERE {TAG} <> ''")
