@@ -20,6 +20,8 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
+        # HotSpot leaves methods over 8000 bytes uncompiled; wide expressions run faster split up than fused but interpreted.
+        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     for k, v in (defaults | conf).items():
         b = b.config(k, v)
