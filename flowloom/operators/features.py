@@ -85,6 +85,24 @@ def feature_stats(train: DataFrame, features: list[str], logs: list[str]) -> Dat
     return one.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"{f}.mean"), F.col(f"{f}.scale")) for f in features])).alias("s")).select("s.*")
 
 
+def finite(feature: str) -> Column:
+    """The value if it is finite, else null."""
+    return F.when(~nonfinite(feature), F.col(feature))
+
+
+def train_stats(train: DataFrame, features: list[str]) -> DataFrame:
+    """(feature, logged, n, mean, scale) of the finite values, which n counts: raw maxima choose the log columns, then statistics of the transformed ones.
+
+    A scale of 0 counts as 1; a column without a finite value has null for both.
+    """
+    known = train.select(*[finite(f).alias(f) for f in features])
+    top = known.agg(*[F.max(F.abs(F.col(f).cast("double"))).alias(f) for f in features]).first()
+    logs = [f for f in features if (top[f] or 0.0) > LOG_ABOVE]
+    one = known.agg(*[F.struct(F.count(f).alias("n"), F.avg(stabilized(f, logs)).alias("mean"), F.stddev_pop(stabilized(f, logs)).alias("scale")).alias(f) for f in features])
+    rows = F.array(*[F.struct(F.lit(f).alias("feature"), F.lit(f in logs).alias("logged"), F.col(f"{f}.n"), F.col(f"{f}.mean"), F.when(F.col(f"{f}.scale") == 0, 1.0).otherwise(F.col(f"{f}.scale")).alias("scale")) for f in features])
+    return one.select(F.explode(rows).alias("s")).select("s.*")
+
+
 def class_weights(train: DataFrame, label: str) -> DataFrame:
     """(class, n, weight) with weight = rows / (classes x n); counts first, so the rest runs on the classes."""
     n = train.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
