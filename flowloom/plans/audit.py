@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom import schema
@@ -127,12 +127,23 @@ _EXTREMES = ("IN_BYTES", "OUT_PKTS", "MAX_TTL", "L7_PROTO")
 
 @Q("a15_column_extremes", "SELECT " + ", ".join(f"min({c}) FILTER (WHERE isfinite({c}::DOUBLE)) AS min_{c}, max({c}) FILTER (WHERE isfinite({c}::DOUBLE)) AS max_{c}, count(*) FILTER (WHERE {c} IS NULL OR NOT isfinite({c}::DOUBLE)) AS bad_{c}" for c in _EXTREMES) + " FROM full_splits")
 def column_extremes(t: Tables) -> DataFrame:
-    """Extremes of finite values, and how many are not finite."""
+    """Extremes of finite values, and how many are not finite, of four features; `a15_feature_extremes` has all."""
+    return t.full_splits.agg(*extremes(_EXTREMES))
+
+
+def extremes(columns) -> list[Column]:
+    """For each column the extremes of finite values in its own type, null if there are none, and how many are not finite."""
     out = []
-    for c in _EXTREMES:
+    for c in columns:
         ok = F.when(~nonfinite(c), F.col(c))
         out += [F.min(ok).alias(f"min_{c}"), F.max(ok).alias(f"max_{c}"), F.count_if(nonfinite(c)).alias(f"bad_{c}")]
-    return t.full_splits.agg(*out)
+    return out
+
+
+@Q("a15_feature_extremes", "SELECT " + ", ".join(f"min({c}) FILTER (WHERE isfinite({c}::DOUBLE)) AS min_{c}, max({c}) FILTER (WHERE isfinite({c}::DOUBLE)) AS max_{c}, count(*) FILTER (WHERE {c} IS NULL OR NOT isfinite({c}::DOUBLE)) AS bad_{c}" for c in schema.FEATURES) + " FROM full_splits")
+def feature_extremes(t: Tables) -> DataFrame:
+    """Extremes and bad values of all 39 features in one pass."""
+    return t.full_splits.agg(*extremes(schema.FEATURES))
 
 
 @Q("a24_distinct_per_group", "SELECT dataset, task, model, count(DISTINCT seed) AS seeds, count(*) - count(DISTINCT seed) AS repeats FROM runs GROUP BY ALL")

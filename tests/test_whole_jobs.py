@@ -5,7 +5,7 @@ import math
 import pytest
 
 from flowloom import schema
-from flowloom.plans import graph
+from flowloom.plans import audit, graph
 
 
 class Stored:
@@ -45,3 +45,14 @@ def test_train_stats_of_a_table(spark, small):
         scale = math.sqrt(math.fsum((v - mean) ** 2 for v in x) / len(x)) or 1.0
         assert tuple(got[f])[1:3] == (logged, len(x))
         assert tuple(got[f])[3:] == (pytest.approx(mean, rel=1e-9, abs=1e-12), pytest.approx(scale, rel=1e-7))
+
+
+def test_feature_extremes(flows):
+    rows = [{"SRC_TO_DST_SECOND_BYTES": v, "FTP_COMMAND_RET_CODE": None, "IN_BYTES": b} for v, b in ((2.2e240, 2**53 + 1), (float("nan"), None), (float("-inf"), -3), (-1.5, 0))]
+    got = audit.feature_extremes(Stored(full_splits=flows(rows))).first().asDict()
+    assert len(got) == 3 * len(schema.FEATURES)
+    pick = lambda c: tuple(got[f"{k}_{c}"] for k in ("min", "max", "bad"))
+    assert pick("SRC_TO_DST_SECOND_BYTES") == (-1.5, 2.2e240, 2)
+    assert pick("FTP_COMMAND_RET_CODE") == (None, None, 4)
+    assert pick("IN_BYTES") == (-3, 2**53 + 1, 1)
+    assert pick("OUT_PKTS") == (7, 7, 0)
