@@ -9,6 +9,7 @@ from flowloom.functions import canon
 from flowloom.functions.hashing import bucket, bucket_sql, digest, digest_sql, hash60, hash60_sql
 from flowloom.operators import audit, splitting
 from flowloom.operators.skew import ordinals
+from flowloom.plans import pipelines
 from flowloom.plans.registry import Registry, Tables
 from flowloom.schema import SPLITS
 
@@ -25,11 +26,17 @@ _GROUP_SPLIT = _case(bucket_sql("flow_group_id", splitting.SPLIT_SEED, 10))
 
 @Q("h1_fingerprint", f"SELECT source_row_id, md5(concat_ws('|', {_PRINTED})) AS fingerprint FROM full_splits")
 def fingerprint(t: Tables) -> DataFrame:
-    """A label-independent fingerprint of a row's values as 32 hex digits; whole-number columns only, whose text is the same everywhere."""
+    """A fingerprint of nine whole-number columns, whose text is the same everywhere; `h1_flow_fingerprint` has all columns."""
     cols = ("IPV4_SRC_ADDR", "L4_SRC_PORT", "IPV4_DST_ADDR", "L4_DST_PORT", "PROTOCOL", "IN_BYTES", "OUT_BYTES", "TCP_FLAGS", "FLOW_DURATION_MILLISECONDS")
     return t.full_splits.select("source_row_id", F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols])).alias("fingerprint"))
 
 
+@Q("h1_flow_fingerprint")
+def flow_fingerprint(t: Tables) -> DataFrame:
+    """The fingerprint of all columns but the labels, as ingest stores it. Engines print doubles differently, so tests replace SQL."""
+    return t.full_splits.select("source_row_id", pipelines.fingerprint().alias("fingerprint"))
+
+
 @Q("h2_two_hashes", f"SELECT source_row_id, {hash60_sql('flow_group_id', 1)} AS h1, {hash60_sql('flow_group_id', 2)} AS h2 FROM full_splits")
 def two_hashes(t: Tables) -> DataFrame:
     """Two independent integer hashes of a key."""

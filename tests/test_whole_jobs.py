@@ -1,11 +1,12 @@
 """Queries that cover every column, against brute force."""
 
+import hashlib
 import math
 
 import pytest
 
 from flowloom import schema
-from flowloom.plans import audit, graph
+from flowloom.plans import audit, graph, splitting
 
 
 class Stored:
@@ -56,3 +57,18 @@ def test_feature_extremes(flows):
     assert pick("FTP_COMMAND_RET_CODE") == (None, None, 4)
     assert pick("IN_BYTES") == (-3, 2**53 + 1, 1)
     assert pick("OUT_PKTS") == (7, 7, 0)
+
+
+def text(v):
+    return "\\N" if v is None else str(v)
+
+
+def test_flow_fingerprint(flows):
+    cols = [c for c in schema.RAW_COLUMNS if c not in schema.TARGETS]
+    other = lambda c: "10.9.9.9" if c in schema.STRING_COLUMNS else 2.5 if c in schema.DOUBLE_COLUMNS else 8
+    rows = [{}, {"Label": 1, "Attack": "DDoS"}, *[{c: v} for c in cols for v in (other(c), None)]]
+    df = flows(rows)
+    stored = sorted(df.collect(), key=lambda r: r["source_row_id"])
+    got = {r["source_row_id"]: r["fingerprint"] for r in splitting.flow_fingerprint(Stored(full_splits=df)).collect()}
+    assert got[1] == got[2] and len(set(got.values())) == len(rows) - 1
+    assert all(got[r["source_row_id"]] == hashlib.md5("|".join(text(r[c]) for c in cols).encode()).hexdigest() for r in stored)
