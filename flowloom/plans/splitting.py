@@ -120,10 +120,17 @@ _PILOT = {"train": 40, "val": 10, "test": 20}  # caps in proportion to the publi
 @Q("t1_pilot_topk", f"""WITH flow SELECT source_row_id, split, Attack FROM flow WHERE split IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY split, Attack ORDER BY {digest_sql(_ORDER_KEY, splitting.PILOT_SEED)}, source_row_id) <= CASE split WHEN 'train' THEN 40 WHEN 'val' THEN 10 ELSE 20 END""")
 def pilot_topk(t: Tables) -> DataFrame:
-    """The bounded pilot sample by split and class."""
+    """A small bounded sample by split and class; `t1_pilot_sample` has the published caps."""
     return splitting.pilot_sample(t.flow.select("source_row_id", "flow_group_id", "split", "Attack"), _PILOT).select("source_row_id", "split", "Attack")
 
 
+@Q("t1_pilot_sample", f"""WITH flow SELECT source_row_id, split, Attack FROM flow WHERE split IS NOT NULL
+QUALIFY row_number() OVER (PARTITION BY split, Attack ORDER BY {digest_sql(_ORDER_KEY, splitting.PILOT_SEED)}, source_row_id) <= CASE split {" ".join(f"WHEN '{s}' THEN {n}" for s, n in splitting.PILOT_CAPS.items())} END""")
+def pilot_sample(t: Tables) -> DataFrame:
+    """The pilot sample by split and class under the published caps."""
+    return splitting.pilot_sample(t.flow.select("source_row_id", "flow_group_id", "split", "Attack"), splitting.PILOT_CAPS).select("source_row_id", "split", "Attack")
+
+
 @Q("t2_bottom_k", f"""
 WITH g AS (SELECT flow_group_id AS g, min(source_row_id) AS row_id, min(Attack) AS Attack FROM full_splits WHERE flow_group_id IS NOT NULL GROUP BY 1 HAVING min(Attack) = max(Attack))
 SELECT row_id, Attack FROM g ORDER BY {digest_sql('g', 20260919)}, g LIMIT 1000""")

@@ -6,6 +6,7 @@ import math
 import pytest
 
 from flowloom import schema
+from flowloom.operators.splitting import PILOT_CAPS, PILOT_SEED
 from flowloom.plans import audit, graph, splitting
 
 
@@ -72,3 +73,16 @@ def test_flow_fingerprint(flows):
     got = {r["source_row_id"]: r["fingerprint"] for r in splitting.flow_fingerprint(Stored(full_splits=df)).collect()}
     assert got[1] == got[2] and len(set(got.values())) == len(rows) - 1
     assert all(got[r["source_row_id"]] == hashlib.md5("|".join(text(r[c]) for c in cols).encode()).hexdigest() for r in stored)
+
+
+def test_pilot_sample(spark):
+    """Classes larger and smaller than each cap."""
+    parts = [(s, a, n) for s, cap in PILOT_CAPS.items() for a, n in (("DDoS", cap + 7), ("Benign", 3))]
+    rows = [(s, a, f"{i:x}") for s, a, n in parts for i in range(n)]
+    rows = [(i, g, s, a) for i, (s, a, g) in enumerate(rows)]
+    flow = spark.createDataFrame(rows, "source_row_id bigint, flow_group_id string, split string, Attack string")
+    want = set()
+    for s, a, _ in parts:
+        own = sorted((hashlib.md5(f"{g}|{i}|{PILOT_SEED}".encode()).hexdigest(), i) for i, g, s2, a2 in rows if (s2, a2) == (s, a))
+        want |= {(i, s, a) for _, i in own[: PILOT_CAPS[s]]}
+    assert sorted(map(tuple, splitting.pilot_sample(Stored(flow=flow)).collect())) == sorted(want)
