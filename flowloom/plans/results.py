@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowloom.functions import canon
 from flowloom.functions import scalar as S
 from flowloom.operators import metrics as M
 from flowloom.operators import results as R
-from flowloom.operators.audit import n_rows
+from flowloom.operators.audit import beside, n_rows
 from flowloom.operators.skew import ordinals
 from flowloom.operators.splitting import evenly_spaced
+from flowloom.operators.validation import nonfinite
 from flowloom.plans.registry import Registry, Tables
 from flowloom.schema import SPLITS
 
@@ -69,7 +71,7 @@ def macro_averages(t: Tables) -> DataFrame:
 
 @Q("a34_replay_error", "SELECT count(*) AS matched, CAST(0 AS BIGINT) AS unmatched, round(max(greatest(abs(x.p_benign - y.p_benign), abs(x.p_attack - y.p_attack), 0)), 9)::DOUBLE AS max_error FROM predictions x JOIN predictions y USING (row_offset)")
 def replay(t: Tables) -> DataFrame:
-    """The largest error of predictions against a replay of them, here against themselves."""
+    """The largest error of predictions against a replay of them, here against themselves: no stored model could recompute them."""
     e = M.replay_error(t.predictions, t.predictions, "row_offset", ["p_benign", "p_attack"])
     return e.select("matched", "unmatched", F.round("max_error", 9).alias("max_error"))
 
@@ -366,7 +368,7 @@ def reusable(t: Tables) -> DataFrame:
 
 @Q("r9_provenance_equal", f"WITH {_RUNS} SELECT a.dataset, count(*) FILTER (WHERE a.best_epoch IS NOT DISTINCT FROM b.best_epoch AND a.val_accuracy IS NOT DISTINCT FROM b.val_accuracy) AS equal, count(*) AS pairs FROM u a JOIN u b ON a.dataset = b.dataset AND a.task = b.task AND a.model = b.model WHERE a.seed = 11 AND b.seed = 23 GROUP BY 1")
 def provenance_equal(t: Tables) -> DataFrame:
-    """How many stored entries equal their counterpart in all but the ignored keys, null being equal to null."""
+    """How many stored entries equal their counterpart in two columns, null being equal to null; `r9_entries_equal` compares all."""
     k, u = ["dataset", "task", "model"], runs(t)
     a, b = u.where("seed = 11").alias("a"), u.where("seed = 23").select(*k, F.col("best_epoch").alias("e"), F.col("val_accuracy").alias("v"))
     same = F.col("best_epoch").eqNullSafe(F.col("e")) & F.col("val_accuracy").eqNullSafe(F.col("v"))
@@ -375,10 +377,73 @@ def provenance_equal(t: Tables) -> DataFrame:
 
 @Q("r11_replay_verdict", "SELECT model, count(*) FILTER (WHERE test_accuracy BETWEEN 0 AND 1) AS plausible, count(*) AS runs, bool_and(coalesce(test_macro_f1 <= 1, false)) AS ok FROM runs GROUP BY 1")
 def replay_verdict(t: Tables) -> DataFrame:
-    """Stored scores checked run by run."""
+    """Stored scores checked run by run for their range only; `r11_replay_predictions` recomputes."""
     return t.runs.groupBy("model").agg(F.count_if(F.col("test_accuracy").between(0, 1)).alias("plausible"), n_rows().alias("runs"), F.bool_and(F.coalesce(F.col("test_macro_f1") <= 1, F.lit(False))).alias("ok"))
 
 
+_SCORED = ["seconds_fit", "best_epoch", *(f"{s}_{m}" for s in ("val", "test") for m in ("macro_f1", "weighted_f1", "accuracy"))]
+
+
+@Q("r9_entries_equal", f"WITH {_RUNS} SELECT a.dataset, count(*) FILTER (WHERE {' AND '.join(f'a.{c} IS NOT DISTINCT FROM b.{c}' for c in _SCORED)}) AS equal, count(*) AS pairs FROM u a JOIN u b ON a.dataset = b.dataset AND a.task = b.task AND a.model = b.model WHERE a.seed = 11 AND b.seed = 23 GROUP BY 1")
+def entries_equal(t: Tables) -> DataFrame:
+    """How many stored entries equal their counterpart in all but the seed that is ignored, null being equal to null."""
+    k, u = ["dataset", "task", "model"], runs(t)
+    a, b = u.where("seed = 11"), u.where("seed = 23").select(*k, *[F.col(c).alias(f"_{c}") for c in _SCORED])
+    same = S.both([F.col(c).eqNullSafe(F.col(f"_{c}")) for c in _SCORED])
+    return a.join(b, k).groupBy("dataset").agg(F.count_if(same).alias("equal"), n_rows().alias("pairs"))
+
+
+_METRICS = ("accuracy", "macro_f1", "weighted_f1")
+_SUM_OFF = 1e-6  # as in the reference's check of probability sums
+
+
+def _metrics_sql(name: str, y: str, p: str) -> str:
+    counts = f"SELECT c AS class, count(*) FILTER (WHERE {y} = c) AS support, count(*) FILTER (WHERE {y} = c AND {p} = c) AS tp, count(*) FILTER (WHERE {y} <> c AND {p} = c) AS fp FROM (SELECT range::INT AS c FROM range(2)), j WHERE {y} IS NOT NULL AND {p} IS NOT NULL GROUP BY c"
+    f1 = sql_ratio("2 * tp", "tp + fp + support")
+    return f"{name} AS (SELECT {sql_ratio('sum(tp)', 'sum(support)')} AS {name}_accuracy, round(avg(f1), 9) AS {name}_macro_f1, {sql_ratio('sum(f1 * support)', 'sum(support)')} AS {name}_weighted_f1 FROM (SELECT *, {f1} AS f1 FROM ({counts})))"
+
+
+_GATES = ("repeated", "clashes", "unknown_ids", "not_test", "wrong_groups", "wrong_truth", "unknown_probabilities", "off_sums", "wrong_predictions")
+
+
+@Q("r11_replay_predictions", f"""
+WITH flow , d AS (SELECT DISTINCT * FROM predictions),
+j AS (SELECT d.*, f.source_row_id IS NOT NULL AS found, f.Label, f.split, {canon.group_key_sql('f.flow_group_id')} AS g, isfinite(p_benign) AND isfinite(p_attack) AS known,
+  CASE WHEN isfinite(p_benign) AND isfinite(p_attack) THEN CASE WHEN p_attack > p_benign THEN 1 ELSE 0 END END AS y FROM d LEFT JOIN flow f USING (source_row_id)),
+n AS (SELECT (SELECT count(*) FROM predictions) AS stored, (SELECT count(*) FROM predictions) - count(*) AS repeated, count(*) - count(DISTINCT row_offset) AS clashes, count(*) FILTER (WHERE NOT found) AS unknown_ids,
+  count(*) FILTER (WHERE found AND split IS DISTINCT FROM 'test') AS not_test, count(*) FILTER (WHERE found AND {canon.group_key_sql('flow_group_id')} IS DISTINCT FROM g) AS wrong_groups, count(*) FILTER (WHERE found AND y_true IS DISTINCT FROM Label) AS wrong_truth,
+  count(*) FILTER (WHERE known IS NOT TRUE) AS unknown_probabilities, count(*) FILTER (WHERE known AND abs(p_benign + p_attack - 1) > {_SUM_OFF}) AS off_sums, count(*) FILTER (WHERE known AND y_pred IS DISTINCT FROM y) AS wrong_predictions FROM j),
+{_metrics_sql('stored', 'y_true', 'y_pred')}, {_metrics_sql('replayed', 'Label', 'y')}
+SELECT n.*, s.*, r.*, {' AND '.join(f'{c} = 0' for c in _GATES)} AND {' AND '.join(f'coalesce(stored_{m} = replayed_{m}, false)' for m in _METRICS)} AS ok FROM n, stored s, replayed r""")
+def replay_predictions(t: Tables) -> DataFrame:
+    """Stored predictions against what their probabilities and the flows give: row ids, groups, labels, classes and metrics recomputed. Any difference, gap or repeat makes ok false.
+
+    Groups are compared in canonical spelling. A row without a flow, a label or finite probabilities has no part in the replayed metrics; its count speaks against it. Ids of flows are unique.
+    """
+    known = ~nonfinite("p_benign") & ~nonfinite("p_attack")
+    flow = t.flow.select("source_row_id", F.lit(True).alias("found"), "Label", "split", canon.group_key("flow_group_id").alias("g"))
+    d = t.predictions.distinct().withColumns({"known": known, "y": F.when(known, S.argmax(F.array("p_benign", "p_attack")))})
+    j = d.join(flow, "source_row_id", "left")
+    differs = lambda a, b: ~F.col(a).eqNullSafe(b)
+    found, known = F.col("found").isNotNull(), F.col("known")
+    counts = {
+        "clashes": n_rows() - F.countDistinct("row_offset"),
+        "unknown_ids": F.count_if(~found),
+        "not_test": F.count_if(found & differs("split", F.lit("test"))),
+        "wrong_groups": F.count_if(found & ~canon.group_key("flow_group_id").eqNullSafe(F.col("g"))),
+        "wrong_truth": F.count_if(found & differs("y_true", F.col("Label"))),
+        "unknown_probabilities": F.count_if(~known),
+        "off_sums": F.count_if(known & (F.abs(F.col("p_benign") + F.col("p_attack") - 1) > _SUM_OFF)),
+        "wrong_predictions": F.count_if(known & differs("y_pred", F.col("y"))),
+    }
+    n = j.agg(n_rows().alias("_rows"), *[c.alias(k) for k, c in counts.items()])
+    metrics = [M.summary(M.per_class(j.where(f"{y} IS NOT NULL AND {p} IS NOT NULL"), [0, 1], y, p)).select(*[F.col(m).alias(f"{name}_{m}") for m in _METRICS]) for name, y, p in (("stored", "y_true", "y_pred"), ("replayed", "Label", "y"))]
+    one = beside(t.predictions.agg(n_rows().alias("stored")), n, *metrics).withColumn("repeated", F.col("stored") - F.col("_rows"))
+    same = [F.coalesce(F.col(f"stored_{m}") == F.col(f"replayed_{m}"), F.lit(False)) for m in _METRICS]
+    ok = S.both([*[F.col(c) == 0 for c in _GATES], *same])
+    return one.select("stored", *_GATES, *[f"{name}_{m}" for name in ("stored", "replayed") for m in _METRICS], ok.alias("ok"))
+
+
 @Q("f8_step_budget", "WITH flow , n AS (SELECT Dataset, count(*) AS n FROM flow WHERE split = 'train' GROUP BY 1) SELECT Dataset, CAST(ceil(n / 256.0) AS BIGINT) AS per_pass, greatest(20, 2 * CAST(ceil(n / 256.0) AS BIGINT)) AS steps FROM n")
 def step_budget(t: Tables) -> DataFrame:
     """Steps of a run from the rows of train."""

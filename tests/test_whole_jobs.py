@@ -7,7 +7,7 @@ import pytest
 
 from flowloom import schema
 from flowloom.operators.splitting import PILOT_CAPS, PILOT_SEED
-from flowloom.plans import audit, graph, splitting
+from flowloom.plans import audit, graph, results, splitting
 
 
 class Stored:
@@ -86,3 +86,35 @@ def test_pilot_sample(spark):
         own = sorted((hashlib.md5(f"{g}|{i}|{PILOT_SEED}".encode()).hexdigest(), i) for i, g, s2, a2 in rows if (s2, a2) == (s, a))
         want |= {(i, s, a) for _, i in own[: PILOT_CAPS[s]]}
     assert sorted(map(tuple, splitting.pilot_sample(Stored(flow=flow)).collect())) == sorted(want)
+
+
+PREDICTED = "row_offset bigint, source_row_id bigint, flow_group_id string, y_true int, y_pred int, p_benign double, p_attack double"
+
+
+def replayed(spark, flows, change=None, **other):
+    flow = flows([{"Label": i % 2, "flow_group_id": f"0x{i:032X}", "split": "test"} for i in range(6)])
+    rows = [dict(row_offset=i, source_row_id=i + 1, flow_group_id=f"{i:032x}", y_true=i % 2, y_pred=int(i in (1, 2, 3)), p_benign=0.25 if i in (1, 2, 3) else 0.75, p_attack=0.75 if i in (1, 2, 3) else 0.25) for i in range(6)]
+    if change is not None:
+        rows[change] |= other
+    return results.replay_predictions(Stored(flow=flow, predictions=spark.createDataFrame([tuple(r.values()) for r in rows], PREDICTED))).first()
+
+
+def test_replay_predictions(spark, flows):
+    good = replayed(spark, flows)
+    assert good["ok"] and good["stored"] == 6 and good["stored_accuracy"] == good["replayed_accuracy"] == pytest.approx(4 / 6, abs=1e-9)
+
+
+@pytest.mark.parametrize(
+    ("other", "gate"),
+    [({"y_pred": 0}, "wrong_predictions"), ({"y_true": 0}, "wrong_truth"), ({"source_row_id": 99}, "unknown_ids"), ({"source_row_id": None}, "unknown_ids"), ({"p_attack": None}, "unknown_probabilities"), ({"p_attack": float("nan")}, "unknown_probabilities"), ({"p_attack": 0.9}, "off_sums"), ({"flow_group_id": "x"}, "wrong_groups"), ({"row_offset": 2}, "clashes")],
+)
+def test_replay_finds(spark, flows, other, gate):
+    bad = replayed(spark, flows, 1, **other)
+    assert bad[gate] == 1 and not bad["ok"]
+
+
+def test_entries_equal(spark):
+    kind = "dataset string, task string, model string, seed bigint, seconds_fit double, best_epoch bigint, val_macro_f1 double, val_weighted_f1 double, val_accuracy double, test_macro_f1 double, test_weighted_f1 double, test_accuracy double"
+    row = lambda task, seed, f1: ("d", task, "m", seed, 1.0, None, 0.5, 0.5, 0.5, f1, 0.5, 0.5)
+    stored = spark.createDataFrame([row("a", 11, 0.5), row("a", 23, 0.5), row("b", 11, 0.5), row("b", 23, 0.6)], kind)
+    assert results.entries_equal(Stored(runs=stored)).collect() == [("d", 1, 2)]
