@@ -12,6 +12,7 @@ from flowloom.operators import features as X
 from flowloom.operators import graph as G
 from flowloom.operators.audit import beside, n_rows
 from flowloom.operators.skew import ordinals
+from flowloom.operators.validation import any_of, nonfinite
 from flowloom.plans.registry import Registry, Tables
 
 Q = Registry()
@@ -55,7 +56,7 @@ def train_stats(t: Tables) -> DataFrame:
 WITH flow , s AS (SELECT avg(IN_PKTS) AS m1, stddev_pop(IN_PKTS) AS s1, avg(MAX_TTL) AS m2, stddev_pop(MAX_TTL) AS s2 FROM flow WHERE split = 'train' AND {_KNOWN})
 SELECT source_row_id, round(((IN_PKTS - m1) / s1)::FLOAT::DOUBLE, 4) AS z_pkts, round(((MAX_TTL - m2) / s2)::FLOAT::DOUBLE, 4) AS z_ttl FROM flow, s WHERE split = 'test' AND {_KNOWN}""")
 def standardize(t: Tables) -> DataFrame:
-    """Test rows standardised by train's statistics."""
+    """Two features of test rows standardised by train's statistics; `f3_standardize_all` has all."""
     known = t.flow.where(_KNOWN)
     s = known.where("split = 'train'").agg(F.avg("IN_PKTS"), F.stddev_pop("IN_PKTS"), F.avg("MAX_TTL"), F.stddev_pop("MAX_TTL")).first()
     m1, s1, m2, s2 = (F.lit(v) for v in s)
@@ -63,6 +64,16 @@ def standardize(t: Tables) -> DataFrame:
     return known.where("split = 'test'").select("source_row_id", r(z_score(F.col("IN_PKTS"), m1, s1)).alias("z_pkts"), r(z_score(F.col("MAX_TTL"), m2, s2)).alias("z_ttl"))
 
 
+@Q("f3_standardize_all")
+def standardize_all(t: Tables) -> DataFrame:
+    """All features of test rows, standardised by train's complete rows as an array in model order; a row with a missing or non-finite feature keeps its place with null."""
+    whole = ~any_of([nonfinite(c) for c in schema.FEATURES])
+    p = X.Preprocessor.fit(t.flow.where("split = 'train'").where(whole), list(schema.FEATURES), "binary")
+    test = t.flow.where("split = 'test'")
+    cells = p.transform(test.where(whole)).select("source_row_id", "x")
+    return cells.unionByName(test.where(~whole).select("source_row_id", F.lit(None).cast("array<float>").alias("x")))
+
+
 @Q("f14_stats_close", "SELECT Dataset, abs(avg(MAX_TTL) - 100) <= 1e-7 + 0.5 * 100 AS near FROM full_splits GROUP BY 1")
 def stats_close(t: Tables) -> DataFrame:
     """Approximate equality of a statistic with a stored one."""
@@ -170,17 +181,36 @@ def indexed_edges(t: Tables) -> DataFrame:
 
 @Q("g4_layer1_agg", f"WITH flow , {_E}, {_M} SELECT dst AS node, count(*) AS degree, round(avg(IN_PKTS), 6) AS IN_PKTS, round(avg(MAX_TTL), 6) AS MAX_TTL FROM m WHERE split = 'train' GROUP BY 1")
 def layer1(t: Tables) -> DataFrame:
-    """The first layer's aggregation: mean of the incoming edges' features by node."""
+    """The first layer's aggregation: mean of two features of the incoming edges by node; `g4_layer1_all` has all."""
     m = G.mean_messages(G.message_edges(edges(t).where("split = 'train'")), ["IN_PKTS", "MAX_TTL"])
     return m.select("node", "degree", F.round("IN_PKTS", 6).alias("IN_PKTS"), F.round("MAX_TTL", 6).alias("MAX_TTL"))
 
 
 @Q("a32_message_mean", f"WITH flow , {_E}, {_M} SELECT dst AS node, round(sum(IN_PKTS) / greatest(count(*), 1), 6) AS mean FROM m GROUP BY 1")
 def message_mean(t: Tables) -> DataFrame:
-    """Sum over degree of the messages."""
+    """Sum over degree of the messages' IN_PKTS; `a32_message_mean_all` has all features."""
     return G.message_edges(edges(t)).groupBy(F.col("dst").alias("node")).agg(F.round(F.sum("IN_PKTS") / F.greatest(n_rows(), F.lit(1)), 6).alias("mean"))
 
 
+def whole_edges(t: Tables) -> DataFrame:
+    """Edges with all features, null where a value is not finite."""
+    flow = t.flow
+    return G.label_edges(flow.withColumns({c: X.finite(c) for c in schema.FEATURES}), "split", *schema.FEATURES)
+
+
+@Q("g4_layer1_all")
+def layer1_all(t: Tables) -> DataFrame:
+    """The first layer's aggregation over train: mean of the finite values of every feature of the incoming edges by node. Sums of large values depend on their order, so tests replace SQL."""
+    return G.mean_messages(G.message_edges(whole_edges(t).where("split = 'train'")), list(schema.FEATURES))
+
+
+@Q("a32_message_mean_all")
+def message_mean_all(t: Tables) -> DataFrame:
+    """Sum over degree of the messages, every feature, all splits."""
+    means = [(F.sum(F.col(c).cast("double")) / F.greatest(n_rows(), F.lit(1))).alias(c) for c in schema.FEATURES]
+    return G.message_edges(whole_edges(t)).groupBy(F.col("dst").alias("node")).agg(*means)
+
+
 _DEG = "d AS (SELECT node, count(*) AS degree FROM (SELECT src AS node FROM e UNION ALL SELECT dst FROM e) GROUP BY 1)"
 
 

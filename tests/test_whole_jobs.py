@@ -118,3 +118,22 @@ def test_entries_equal(spark):
     row = lambda task, seed, f1: ("d", task, "m", seed, 1.0, None, 0.5, 0.5, 0.5, f1, 0.5, 0.5)
     stored = spark.createDataFrame([row("a", 11, 0.5), row("a", 23, 0.5), row("b", 11, 0.5), row("b", 23, 0.6)], kind)
     assert results.entries_equal(Stored(runs=stored)).collect() == [("d", 1, 2)]
+
+
+def test_layer1_and_message_mean(flows):
+    rows = [{"L4_SRC_PORT": a, "L4_DST_PORT": b, "IN_BYTES": v, "L7_PROTO": w, "split": s} for a, b, v, w, s in ((1, 2, 10, 1.5, "train"), (3, 2, 20, float("nan"), "train"), (2, 2, None, 4.5, "train"), (1, 2, 99, 9.5, "test"))]
+    rows = [r | {"IPV4_DST_ADDR": "10.0.0.1"} for r in rows]
+    got = {r["node"]: r for r in graph.layer1_all(Stored(flow=flows(rows))).collect()}
+    assert set(schema.FEATURES) <= set(got["10.0.0.1:2"].asDict())
+    pick = lambda r: (r["degree"], r["IN_BYTES"], r["L7_PROTO"], r["MAX_TTL"])
+    assert pick(got["10.0.0.1:2"]) == (3, 15.0, 3.0, 7.0)
+    assert pick(got["10.0.0.1:3"]) == (1, 20.0, None, 7.0)
+    mean = {r["node"]: r for r in graph.message_mean_all(Stored(flow=flows(rows))).collect()}
+    assert (mean["10.0.0.1:2"]["IN_BYTES"], mean["10.0.0.1:1"]["L7_PROTO"], mean["10.0.0.1:3"]["MAX_TTL"]) == (129 / 4, 5.5, 7.0)
+
+
+def test_standardize_all(flows):
+    rows = [{"IN_BYTES": 1}, {"IN_BYTES": 5}, {"IN_BYTES": 100, "OUT_BYTES": None}, {"IN_BYTES": 7, "split": "test"}, {"L7_PROTO": float("nan"), "split": "test"}]
+    got = {r["source_row_id"]: r["x"] for r in graph.standardize_all(Stored(flow=flows(rows))).collect()}
+    assert set(got) == {4, 5} and got[5] is None
+    assert got[4] == [2.0 if f == "IN_BYTES" else 0.0 for f in schema.FEATURES]
