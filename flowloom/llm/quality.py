@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 from flowloom.llm.batches import slices
 
 MAX_LABELLED = 8000  # labelled texts that profiles are learnt from; more are thinned by a hash of their id
-MAX_PROFILES = 192  # profiles of a kind at most
 RADIUS = 0.015  # texts of one kind nearer than this to a profile are taken into it
+PAIRS_AT_A_TIME = 400_000  # pairs of text and profile compared at a time, however many profiles there are
 FAR = 0.16  # a text at least so far from every profile is junk
 KINDS = ("prose", "list", "table", "junk")
 
@@ -92,10 +92,11 @@ def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
     out = np.empty((len(p), len(q)))
     hq = entropy(q)
-    for a in range(0, len(p), 512):
-        part = p[a : a + 512]
+    step = max(1, min(512, PAIRS_AT_A_TIME // max(1, len(q))))
+    for a in range(0, len(p), step):
+        part = p[a : a + step]
         middle = (part[:, None, :] + q[None, :, :]) / 2
-        out[a : a + 512] = entropy(middle) - (entropy(part)[:, None] + hq[None, :]) / 2
+        out[a : a + step] = entropy(middle) - (entropy(part)[:, None] + hq[None, :]) / 2
     return np.maximum(out, 0)
 
 
@@ -215,14 +216,14 @@ class Profiles:
         for kind in KINDS:
             at = [i for i, k in enumerate(kinds) if k == kind]
             own = {p: x[at] for p, x in parts.items()}
-            left, made = np.arange(len(at)), 0
-            while len(left) and made < MAX_PROFILES:
+            left = np.arange(len(at))
+            while len(left):
                 seed = {p: x[left[:1]] for p, x in own.items()}
                 near = self.distances({p: x[left] for p, x in own.items()}, seed)[:, 0] < RADIUS
                 near[0] = True
                 chosen.append({p: x[left[near]].mean(0) for p, x in own.items()})
                 self.kinds.append(kind)
-                left, made = left[~near], made + 1
+                left = left[~near]
         self.profiles = {p: np.stack([c[p] for c in chosen]) for p, _ in self.PARTS} if chosen else {}
         return self
 

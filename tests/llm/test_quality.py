@@ -73,3 +73,11 @@ def test_held_out_accuracy(spark, small):
         pytest.skip("too few labelled documents at this size")
     got = p.kind_of([r["text"] for r in rest])[0]
     assert sum(a == r["kind"] for a, r in zip(got, rest)) >= 0.9 * len(rest)
+
+
+def test_every_labelled_text_has_a_profile(monkeypatch):
+    """A kind may need any number of profiles: without a radius each text is one."""
+    monkeypatch.setattr(Q, "RADIUS", 0.0)
+    texts = [f"- lid {i}\n- cup\n- strap {i}" for i in range(250)]
+    p = Q.Profiles(COMMON).fit(texts, ["list"] * 250)
+    assert len(p.kinds) == len(p.profiles["classes"]) == 250
