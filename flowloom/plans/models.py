@@ -89,7 +89,7 @@ def rewired_scores(t: Tables) -> DataFrame:
 
 @Q("m6_unlabelled")
 def unlabelled(t: Tables) -> DataFrame:
-    """Scores of the late delivery, which needs no labels: the whole delivery is the graph's context."""
+    """Scores of the late delivery, which needs no labels: its rows without a missing feature are the graph's context."""
     p, _ = prepared(t)
     late = t.late_flows.drop("Label", "Attack").where(" AND ".join(f"{c} IS NOT NULL" for c in schema.FEATURES)).dropDuplicates(["source_row_id"])
     edges = materialize(G.label_edges(p.transform(late), "x"), "edges")
