@@ -1,108 +1,271 @@
 """Problem 8: text statistics, and whether a text is prose, a list, a table or junk.
 
 A text is described by a few distributions: its characters over character classes, its characters over the lengths of the
-segments they stand in, its words over the function words of the language that fits best, and some shares. Function words are compared
-with prose profiles of each language by Jensen-Shannon divergence; the whole description is then compared, by the same divergence, with
-structural profiles learnt from a labelled sample, and the nearest profile gives the kind. A text far from all profiles is
-unlike anything that is read, so it is junk.
+segments they stand in, its words over the function words of the language that fits best, and some shares and counts. Function words are
+compared with prose profiles of each language by Jensen-Shannon divergence; the whole description is then compared, by the same divergence, with
+structural profiles learnt from a labelled sample, and the nearest profile gives the kind, whatever the length of the text. Shares of few
+words or letters are drawn towards those of the labelled texts by a few words that are added.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import unicodedata
+from collections.abc import Iterable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowloom.llm.batches import slices
+from flowloom.session import materialize
 
 MAX_LABELLED = 8000  # labelled texts that profiles are learnt from; more are thinned by a hash of their id
-RADIUS = 0.015  # texts of one kind nearer than this to a profile are taken into it
-PAIRS_AT_A_TIME = 400_000  # pairs of text and profile compared at a time, however many profiles there are
-FAR = 0.16  # a text at least so far from every profile is junk
+RADIUS = 0.015  # every labelled text is at most so far from a profile of its kind
+NUMBERS_AT_A_TIME = 1_000_000  # numbers compared at a time, however many profiles there are
 KINDS = ("prose", "list", "table", "junk")
 
 LONG_WORD = 20  # letters; hardly any word of prose has more
-SEEN = 0.4  # share of letter sequences known from prose that a few words need to be sure
-FEW_ENTRIES, FEW_WORDS = 3, 12  # fewer entries are no list or table; of so few words no distance is sure
+KNOWN_BITS = 24  # letter sequences known from prose are kept in a bitmap of so many bits; n of them let n / 2**24 of strange ones pass
 _CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}ー"
 WORD = rf"[{_CJK}]|[\p{{L}}\p{{M}}\p{{N}}'’]+"
 # Character classes in the order of the counts; the last one takes what no other does.
 CLASSES = ("vowel", "consonant", "upper", "accented", "kana_han", "cyrillic", "letter", "digit", "space", "newline", "tab", "stop", "comma", "colon", "pipe", "dash", "quote", "round", "angle", "slash", "code", "mark", "punct", "symbol", "damaged", "other")
-_LATIN, _LETTERS = 4, 7  # the first classes are letters, the first of them Latin
-SEGMENT_WORDS = (1, 2, 3, 4, 6, 9)  # upper ends of the classes of segment length in words
-_WORDS = re.compile(r"[぀-ヿ㐀-鿿]|[^\W_぀-ヿ㐀-鿿]+(?:['’][^\W_]+)*")
-_SEGMENTS = re.compile(r"<[^<>]{0,40}>|[\n\r\t|;,、：:]+|[.!?。！？…]+(?:\s|$)|\s{2,}|[\[\](){}\"•*]+")
-_MARKUP = re.compile(r"<!--.*?-->|</?[a-zA-Z][^<>]{0,200}>|\{\{[^{}]{0,80}\}\}|&#?\w{1,10};|(?:https?://|www\.)\S+", re.S)
+SEGMENT_WORDS = np.array([1, 2, 3, 4, 6, 9])  # upper ends of the classes of segment length in words
+_AT = {c: i for i, c in enumerate(CLASSES)}
+_SETS = {"vowel": "aeiouy", "newline": "\n\r\u2028\u2029", "tab": "\t", "stop": ".!?。！？…¡¿", "comma": ",、，", "colon": ":;：；", "pipe": "|¦│", "dash": "-–—•*·‣▪", "quote": "\"'«»“”‘’`´", "round": "()[]（）「」【】", "angle": "<>", "slash": "/\\", "code": "&={}#%_~^@+$"}
+_CLASS_OF = {c: k for k, chars in _SETS.items() for c in chars}
+_CATEGORY = {"N": "digit", "M": "mark", "P": "punct", "S": "symbol", "Z": "space", "C": "damaged"}
+# What a character may be, a bit each above the five bits of its class.
+_LETTER, _SINGLE, _APOSTROPHE, _DIGIT, _BREAK, _STOP, _ENDING, _BLANK, _NEWLINE, _TRIM = (1 << (5 + i) for i in range(10))
+_TAG = re.compile(r"<[^<>]*>")
+_MARKUP = re.compile(r"</?[a-zA-Z][^<>]*>|\{\{[^{}]*\}\}|&#?\w+;|(?:https?://|www\.)\S+")
+_COMMENT = re.compile(r"<!--.*?-->", re.S)
+_KANA = re.compile("[぀-ヿ㐀-鿿]")
 _PAIR = re.compile(r"(?<! )  (?! )")
-_STOPS = tuple(".!?。！？…:)\"'")
-
-
-def _class_table() -> np.ndarray:
-    """The class of every code point, from its Unicode category and a few named sets."""
-    import unicodedata
-
-    at = {c: i for i, c in enumerate(CLASSES)}
-    sets = {"vowel": "aeiouy", "space": "     　", "newline": "\n\r ", "tab": "\t", "stop": ".!?。！？…¡¿", "comma": ",、，", "colon": ":;：；", "pipe": "|¦│", "dash": "-–—•*·‣▪", "quote": "\"'«»“”‘’`´", "round": "()[]（）「」【】", "angle": "<>", "slash": "/\\", "code": "&={}#%_~^@+$"}
-    table = np.full(0x110000, at["other"], np.uint8)
-    for p in range(0x30000):
-        cat = unicodedata.category(chr(p))
-        if cat[0] == "L":
-            k = "letter"
-            if p < 128:
-                k = "consonant" if cat == "Ll" else "upper"
-            elif p < 0x250:
-                k = "accented"
-            elif 0x400 <= p < 0x530:
-                k = "cyrillic"
-            elif 0x3040 <= p < 0x3100 or 0x3400 <= p < 0xA000:
-                k = "kana_han"
+_TEXT = re.compile(r"[^\s\u0000-\u001f\u00a0\u00ad\u200b-\u200f\u2028-\u202f\u2060-\u206f\u3000\ufeff]")
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_BASE = 0xD6E8FEB86659FD93
+
+
+class _Characters:
+    """The properties and the lower case of code points, looked up once for each code point that occurs."""
+
+    def __init__(self):
+        self.bits = np.zeros(0x110000, np.int32)
+        self.lower = np.arange(0x110000, dtype=np.uint32)
+        self.known = np.zeros(0x110000, bool)
+
+    def see(self, points: np.ndarray) -> None:
+        fresh = points[~self.known[points]]
+        for p in np.unique(fresh).tolist():
+            self.bits[p] = self._describe(chr(p))
+            low = chr(p).lower()
+            self.lower[p] = ord(low) if len(low) == 1 else p
+            self.known[p] = True
+
+    @staticmethod
+    def _describe(c: str) -> int:
+        p, cat = ord(c), unicodedata.category(c)
+        kana = 0x3040 <= p < 0x3100 or 0x3400 <= p < 0xA000
+        if c in _CLASS_OF:
+            k = _CLASS_OF[c]
+        elif p == 0xFFFD:
+            k = "damaged"
+        elif cat[0] != "L":
+            k = _CATEGORY[cat[0]]
+        elif p < 128:
+            k = "consonant" if cat == "Ll" else "upper"
         else:
-            k = {"N": "digit", "M": "mark", "P": "punct", "S": "symbol", "Z": "space", "C": "damaged"}[cat[0]]
-        table[p] = at[k]
-    table[0xFFFD] = at["damaged"]
-    for k, chars in sets.items():
-        for c in chars:
-            table[ord(c)] = at[k]
-    return table
-
-
-_TABLE: list[np.ndarray] = []
-
+            k = "accented" if p < 0x250 else "cyrillic" if 0x400 <= p < 0x530 else "kana_han" if kana else "letter"
+        bits = _AT[k]
+        if kana:
+            bits |= _SINGLE
+        elif c.isalnum():
+            bits |= _LETTER | (_DIGIT if c.isdigit() else 0)
+        for flag, chars in ((_APOSTROPHE, "'’"), (_BREAK, "\n\r\t|;,、，:：[](){}\"•*"), (_STOP, ".!?。！？…"), (_ENDING, ".!?。！？…:)\"'"), (_NEWLINE, "\n\r\v\f\x1c\x1d\x1e\x85\u2028\u2029"), (_TRIM, "-–—_=")):
+            bits |= flag if c in chars else 0
+        return bits | (_BLANK | _TRIM if c.isspace() else 0)
+
+
+_CHARACTERS: list[_Characters] = []
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _hash_of_word(word: str) -> int:
+    """The hash that `Batch` gives a word."""
+    total, power = 0, 1
+    for c in word:
+        total = (total + (ord(c) + 1) * int(_ODD) * power) % 2**64
+        power = power * _BASE % 2**64
+    return total
+
+
+class Batch:
+    """Some texts as one array of code points, a line break before, between and after them, so that no run crosses from text to text."""
+
+    def __init__(self, texts: list[str]):
+        if not _CHARACTERS:
+            _CHARACTERS.append(_Characters())
+        self.texts, n = texts, len(texts)
+        sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, n)
+        x = np.frombuffer(("\n" + "\n".join([*texts, ""])).encode("utf-32-le", "surrogatepass"), np.uint32)
+        _CHARACTERS[0].see(x)
+        self.count, self.starts = n, 1 + np.cumsum(sizes) - sizes
+        self.sizes = np.maximum(sizes - 1, 1)
+        self.owner = np.concatenate([[n], np.repeat(np.arange(n), sizes)])
+        self.owner[self.starts + sizes - 1] = n
+        self.bits, self.low = _CHARACTERS[0].bits[x], _CHARACTERS[0].lower[x]
+        letter = self.has(_LETTER)
+        joint = self.has(_APOSTROPHE)
+        joint[1:-1] &= letter[:-2] & letter[2:]
+        self.letter = letter | joint
+        self.single = self.has(_SINGLE)
+        first, last = self.letter.copy(), self.letter.copy()
+        first[1:] &= ~self.letter[:-1]
+        last[:-1] &= ~self.letter[1:]
+        self.first = first | self.single
+        self.last = last | self.single
+        self.begin, self.end = np.flatnonzero(self.first), np.flatnonzero(self.last)
+        self.word_owner = self.owner[self.begin]
+        self.words = self.per_text(self.word_owner)
+
+    def has(self, flag: int) -> np.ndarray:
+        return (self.bits & flag) != 0
+
+    def per_text(self, owners: np.ndarray, weights=None) -> np.ndarray:
+        return np.bincount(owners, weights, self.count + 1)[: self.count].astype(float)
+
+    def classes(self) -> np.ndarray:
+        k = len(CLASSES)
+        return np.bincount(self.owner * k + (self.bits & 31), minlength=(self.count + 1) * k).reshape(-1, k)[: self.count].astype(float)
+
+    def word_hashes(self) -> np.ndarray:
+        """A hash of each word's lower-case letters: a difference of prefix sums, brought to the word's beginning."""
+        powers = _powers(_BASE, len(self.low))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((self.low.astype(np.uint64) + np.uint64(1)) * _ODD * powers, dtype=np.uint64)])
+        back = _powers(pow(_BASE, -1, 2**64), len(self.low))
+        return (sums[self.end + 1] - sums[self.begin]) * back[self.begin]
+
+    def sequences(self) -> tuple[np.ndarray, np.ndarray]:
+        """(owner, key) of every letter with its neighbours in the word, the ends of the word being neighbours too."""
+        at = np.flatnonzero(self.letter | self.single)
+        low = self.low.astype(np.uint64)
+        left = np.where(self.first[at], np.uint64(1), low[at - 1])
+        right = np.where(self.last[at], np.uint64(2), low[at + 1])
+        key = (left * np.uint64(0xBF58476D1CE4E5B9) + low[at]) * np.uint64(0x94D049BB133111EB) + right
+        key = (key ^ (key >> np.uint64(29))) * _ODD
+        return self.owner[at], (key >> np.uint64(64 - KNOWN_BITS)).astype(np.int64)
+
+    def repeated(self, hashes: np.ndarray) -> np.ndarray:
+        """How many times each text's commonest word comes again."""
+        key = hashes + self.word_owner.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
+        order = np.argsort(key)
+        same = key[order]
+        run = np.flatnonzero(np.concatenate([[True], same[1:] != same[:-1]])) if len(same) else np.zeros(0, int)
+        most = np.zeros(self.count + 1)
+        np.maximum.at(most, self.word_owner[order[run]], np.diff(np.append(run, len(same))))
+        return np.maximum(most[: self.count] - 1, 0)
+
+    def spans(self, pattern: re.Pattern, among: Iterable[int]) -> list[tuple[int, int]]:
+        """Places of a pattern in some of the texts."""
+        return [(self.starts[i] + m.start(), self.starts[i] + m.end()) for i in among for m in pattern.finditer(self.texts[i])]
+
+    def covered(self, spans: list[tuple[int, int]]) -> np.ndarray:
+        edge = np.zeros(len(self.bits) + 1, np.int32)
+        for a, b in spans:
+            edge[a] += 1
+            edge[b] -= 1
+        return np.cumsum(edge[:-1]) > 0
+
+    def segments(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of each text over the classes of segment length, and the number of its segments.
+
+        Segments end at breaks, at stops before a blank, at several blanks and at tags; blanks and dashes around them do not count.
+        """
+        blank = self.has(_BLANK)
+        cut = self.has(_BREAK)
+        cut[:-1] |= self.has(_STOP)[:-1] & blank[1:]
+        cut[1:] |= blank[1:] & blank[:-1]
+        cut[:-1] |= blank[1:] & blank[:-1]
+        tagged = [i for i, t in enumerate(self.texts) if "<" in t and ">" in t]
+        if tagged:
+            cut |= self.covered(self.spans(_TAG, tagged))
+        core = np.flatnonzero(~cut & ~self.has(_TRIM))
+        number = np.cumsum(cut)[core]
+        new = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(core) else np.zeros(0, int)
+        a, b = core[new], core[np.append(new[1:], len(core)) - 1] if len(core) else core
+        before = np.cumsum(self.first)
+        words = np.maximum(before[b] - before[a] + self.first[a], 1)
+        k = len(SEGMENT_WORDS) + 1
+        kind = np.searchsorted(SEGMENT_WORDS, words)
+        out = np.bincount(self.owner[a] * k + kind, b - a + 1, (self.count + 1) * k).reshape(-1, k)[: self.count]
+        return out, self.per_text(self.owner[a])
+
+    def markup(self) -> tuple[np.ndarray, np.ndarray]:
+        """Characters of each text in markup or link addresses, and its letters and digits outside them."""
+        signs = ("<", "{{", "&", "://", "www.")
+        marked = [i for i, t in enumerate(self.texts) if any(s in t for s in signs)]
+        alnum = np.flatnonzero(self.has(_LETTER) | self.single)
+        if not marked:
+            return np.zeros(self.count), self.per_text(self.owner[alnum])
+        spans = self.spans(_MARKUP, marked)
+        for i in marked:
+            # Behind the last end of a comment none is looked for, so that many beginnings are not each searched to the end.
+            t = self.texts[i]
+            spans += [(self.starts[i] + m.start(), self.starts[i] + m.end()) for m in _COMMENT.finditer(t, 0, t.rfind("-->") + 3)] if "-->" in t else []
+        inside = self.covered(spans)
+        return self.per_text(self.owner[inside]), self.per_text(self.owner[alnum[~inside[alnum]]])
+
+    def ended_lines(self) -> tuple[np.ndarray, np.ndarray]:
+        """How many lines of each text end in punctuation, and how many are not blank."""
+        newline, shown = self.has(_NEWLINE), np.flatnonzero(~self.has(_BLANK))
+        line = np.cumsum(newline)[shown]
+        last = shown[np.flatnonzero(np.concatenate([line[1:] != line[:-1], [True]]))] if len(shown) else shown
+        return self.per_text(self.owner[last], self.has(_ENDING)[last].astype(float)), self.per_text(self.owner[last])
+
+
+def _entropy(x: np.ndarray) -> np.ndarray:
+    """-x log2 x, 0 where x is 0."""
+    return -x * np.log2(np.maximum(x, np.finfo(x.dtype).tiny))
+
+
+def divergences(p: np.ndarray, q: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weighted sum over the columns of the Jensen-Shannon divergence, in bits, of each row of p from the row of q beside it, or from q's only row.
+
+    Rows may hold several distributions side by side, each column with the weight of its distribution.
+    """
+    return np.maximum((_entropy((p + q) / 2) - (_entropy(p) + _entropy(q)) / 2) @ weights, 0)
 
-def char_classes(texts: list[str]) -> np.ndarray:
-    """Characters of each text by class, for all texts at once."""
-    if not _TABLE:
-        _TABLE.append(_class_table())
-    sizes = np.fromiter((len(t) for t in texts), np.int64, len(texts))
-    points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    owner = np.repeat(np.arange(len(texts)), sizes)
-    k = len(CLASSES)
-    return np.bincount(owner * k + _TABLE[0][points], minlength=len(texts) * k).reshape(len(texts), k).astype(float)
 
+# The Jensen-Shannon divergence in bits is at least the squared Hellinger distance and at most 1 / ln 2 = 1.4427 times that.
+HELLINGER = 1.4428
 
-def _divergence(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Jensen-Shannon divergence in bits of each row of p from each row of q."""
 
-    def entropy(x: np.ndarray) -> np.ndarray:
-        return -(x * np.log2(np.where(x > 0, x, 1))).sum(-1)
+def nearest(p: np.ndarray, q: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of p the row of q of least divergence, the first of several, and that divergence.
 
-    out = np.empty((len(p), len(q)))
-    hq = entropy(q)
-    step = max(1, min(512, PAIRS_AT_A_TIME // max(1, len(q))))
+    Hellinger distances, a product of matrices, leave out the rows of q that cannot be the nearest; the rest are compared.
+    """
+    index, least = np.empty(len(p), int), np.empty(len(p))
+    root, mass, step = np.sqrt(q) * weights, q @ weights / 2, max(1, NUMBERS_AT_A_TIME // max(1, len(q)))
     for a in range(0, len(p), step):
-        part = p[a : a + step]
-        middle = (part[:, None, :] + q[None, :, :]) / 2
-        out[a : a + step] = entropy(middle) - (entropy(part)[:, None] + hq[None, :]) / 2
-    return np.maximum(out, 0)
-
-
-def _share(x: np.ndarray) -> np.ndarray:
-    x = np.clip(x, 0, 1)
-    return np.stack([x, 1 - x], 1)
+        x = p[a : a + step]
+        apart = (x @ weights / 2)[:, None] + mass[None] - np.sqrt(x) @ root.T
+        i, j = np.nonzero(apart <= apart.min(1, keepdims=True) * HELLINGER + 1e-9)
+        for b in range(0, len(i), max(1, NUMBERS_AT_A_TIME // q.shape[1])):
+            at = slice(b, b + max(1, NUMBERS_AT_A_TIME // q.shape[1]))
+            apart[i[at], j[at]] = divergences(x[i[at]], q[j[at]], weights)
+        kept = np.full(apart.shape, np.inf)
+        kept[i, j] = apart[i, j]
+        index[a : a + step], least[a : a + step] = kept.argmin(1), kept.min(1)
+    return index, least
 
 
 def _normal(x: np.ndarray) -> np.ndarray:
@@ -112,171 +275,302 @@ def _normal(x: np.ndarray) -> np.ndarray:
 
 def plain(text: str) -> str:
     """Text without settings that say nothing of its kind: all capitals, doubled spaces, invisible marks."""
-    if text.upper() == text and text.lower() != text:
+    if text.isupper():
         text = text.lower()
-    return _PAIR.sub(" ", text.replace("\ufeff", "").replace("\u200b", "").replace("\u00ad", ""))
+    text = text.replace("\ufeff", "").replace("\u200b", "").replace("\u00ad", "")
+    return _PAIR.sub(" ", text) if "  " in text else text
 
 
-def words_of(text: str) -> list[str]:
-    """Words of a lower-case text; a kana or han character is a word."""
-    return _WORDS.findall(text)
+class Languages:
+    """Function words of each language, their distribution in prose, and the letter sequences of prose."""
 
+    def __init__(self, common: dict[str, list[str]]):
+        self.names = sorted(common)
+        words = sorted({w for ws in common.values() for w in ws})
+        hashes = np.array([_hash_of_word(w) for w in words], np.uint64)
+        order = np.argsort(hashes)
+        self.words, self.hashes = [words[i] for i in order], hashes[order]
+        at = {w: i for i, w in enumerate(self.words)}
+        self.columns = {lang: np.array(sorted({at[w] for w in common[lang]}), int) for lang in self.names}
+        # Kana words of several characters are not set off by blanks, so they are searched for, the longest first.
+        kana = sorted((w for w in words if _KANA.match(w) and len(w) > 1), key=lambda w: (-len(w), w))
+        self.kana = re.compile("|".join(map(re.escape, kana))) if kana else None
+        self.at = at
+        self.prose = {lang: np.full(len(c) + 1, 1 / (len(c) + 1)) for lang, c in self.columns.items()}
+        self.known, self.bitmap = np.zeros(0, np.int64), None
+
+    def counts(self, batch: Batch, hashes: np.ndarray) -> np.ndarray:
+        """Function words of every text, a column each."""
+        v = len(self.words)
+        if not v:
+            return np.zeros((batch.count, 0))
+        at = np.minimum(np.searchsorted(self.hashes, hashes), v - 1)
+        hit = np.flatnonzero(self.hashes[at] == hashes)
+        owners, columns = batch.word_owner[hit], at[hit]
+        if self.kana:
+            found = [(i, self.at[m]) for i in np.unique(batch.owner[batch.single]).tolist() if i < batch.count for m in self.kana.findall(batch.texts[i])]
+            if found:
+                more = np.array(found)
+                owners, columns = np.concatenate([owners, more[:, 0]]), np.concatenate([columns, more[:, 1]])
+        return np.bincount(owners * v + columns, minlength=batch.count * v)[: batch.count * v].reshape(-1, v).astype(float)
+
+    def by_language(self, counts: np.ndarray, words: np.ndarray) -> dict[str, np.ndarray]:
+        """Counts of each language's words, the last column for all other words of the text."""
+        out = {}
+        for lang in self.names:
+            own = counts[:, self.columns[lang]]
+            out[lang] = np.concatenate([own, np.maximum(words - own.sum(1), 0)[:, None]], 1)
+        return out
 
-def trigrams(word: str) -> list[str]:
-    """Three letters at a time, with the word's ends; of a single character the character."""
-    return [word] if len(word) == 1 else [x[i : i + 3] for x in (f"^{word}$",) for i in range(len(word))]
+    def prose_part(self, texts: list[str]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Of some prose texts: each language's counts over the texts that have most of its words, and the letter sequences."""
+        batch = Batch([plain(t) for t in texts])
+        by = self.by_language(self.counts(batch, batch.word_hashes()), batch.words)
+        most = np.stack([by[x][:, :-1].sum(1) for x in self.names]).argmax(0) if self.names else np.zeros(0, int)
+        return {lang: by[lang][most == i].sum(0) for i, lang in enumerate(self.names)}, np.unique(batch.sequences()[1])
+
+    def fit(self, counts: dict[str, np.ndarray], known: np.ndarray) -> Languages:
+        """Profiles from summed counts, one of each word added, and the sequences of all prose."""
+        self.prose = {lang: (c + 1) / (c + 1).sum() for lang, c in counts.items()}
+        self.known, self.bitmap = np.unique(known), None
+        return self
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"bitmap": None}
 
-class Profiles:
-    """Prose profiles of the languages' function words, and structural profiles of the kinds."""
+    def seen(self, keys: np.ndarray) -> np.ndarray:
+        if self.bitmap is None:
+            self.bitmap = np.zeros(1 << KNOWN_BITS, bool)
+            self.bitmap[self.known] = True
+        return self.bitmap[keys]
 
-    # Weights of the parts of a description: character classes, segment lengths, and each share.
-    PARTS = (("classes", 1.0), ("segments", 1.0), ("function", 0.7), ("common", 0.5), ("numbers", 0.5), ("repeated", 1.0), ("ended", 0.3), ("vowels", 0.5), ("long", 0.7), ("markup", 0.7), ("seen", 1.0))
 
-    def __init__(self, common: dict[str, list[str]]):
-        self.languages = sorted(common)
-        self.vocabulary = {lang: {w: i for i, w in enumerate(sorted(set(common[lang])))} for lang in self.languages}
-        self.any = {w for ws in self.vocabulary.values() for w in ws}
-        self.kana = sorted((w for w in self.any if re.match(r"[぀-ヿ㐀-鿿]", w)), key=lambda w: (-len(w), w))
-        self.kana_pattern = re.compile("|".join(map(re.escape, self.kana))) if self.kana else None
-        self.prose = {lang: np.full(len(v) + 1, 1 / (len(v) + 1)) for lang, v in self.vocabulary.items()}
-        self.trigrams: set[str] = set()
-        self.profiles: dict[str, np.ndarray] = {}
-        self.kinds: list[str] = []
-
-    def _function_counts(self, text: str, words: list[str]) -> dict[str, np.ndarray]:
-        """Function words of each language in a text, the last count for all other words."""
-        seen = Counter(w for w in words if w in self.any)
-        if self.kana_pattern:
-            seen.update(m for m in self.kana_pattern.findall(text) if len(m) > 1)
-        out = {}
-        for lang, v in self.vocabulary.items():
-            c = np.zeros(len(v) + 1)
-            for w, n in seen.items():
-                if w in v:
-                    c[v[w]] += n
-            c[-1] = max(len(words) - c.sum(), 0)
-            out[lang] = c
-        return out
+# Shares of a description: hits, base, and how many of the base are added with the share of the labelled texts.
+SHARES = (("function", "words", 2), ("common", "words", 2), ("numbers", "words", 1), ("repeated", "words", 1), ("ended", "lines", 0), ("vowels", "latin", 8), ("long", "chars", 0), ("markup", "chars", 0), ("seen", "sequences", 2))
+# Counts n of a description, as the share n / (n + scale).
+COUNTS = (("entries", 3), ("words", 8))
+# The parts of a description: how many columns each has, and its weight.
+PARTS = (("classes", len(CLASSES), 1.0), ("segments", len(SEGMENT_WORDS) + 1, 1.0), ("function", 2, 0.7), ("common", 2, 0.5), ("numbers", 2, 0.5), ("repeated", 2, 1.0), ("ended", 2, 0.3), ("vowels", 2, 0.5), ("long", 2, 0.7), ("markup", 2, 0.7), ("seen", 2, 1.0), ("entries", 2, 1.0), ("words", 2, 1.0), ("outside", 2, 0.5))
+WEIGHTS = np.concatenate([np.full(k, w) for _, k, w in PARTS]) / sum(w for *_, w in PARTS)
+MEASURES = (*(f"class_{c}" for c in CLASSES), *(f"segment_{i}" for i in range(len(SEGMENT_WORDS) + 1)), *(s for s, *_ in SHARES), "words", "lines", "latin", "chars", "sequences", "entries", "outside")
 
-    def fit_languages(self, texts: list[str]) -> None:
-        """Prose profiles from prose texts, each counted for the language that has most of its words; one of each word is added."""
-        total = {lang: np.ones(len(v) + 1) for lang, v in self.vocabulary.items()}
-        for t in texts:
-            t = plain(t).lower()
-            counts = self._function_counts(t, words_of(t))
-            lang = max(self.languages, key=lambda x: (counts[x][:-1].sum(), x))
-            total[lang] += counts[lang]
-            self.trigrams.update(x for w in words_of(t) for x in trigrams(w))
-        self.prose = {lang: c / c.sum() for lang, c in total.items()}
-
-    def describe(self, texts: list[str]) -> dict[str, np.ndarray]:
-        """The parts of the description of each text, each part a distribution."""
-        texts = [plain(t) for t in texts]
-        chars = char_classes(texts)
-        n = len(texts)
-        segments = np.zeros((n, len(SEGMENT_WORDS) + 1))
-        function, common, numbers, repeated, ended, long, markup, entries, length, seen, bare = (np.zeros(n) for _ in range(11))
-        for i, t in enumerate(texts):
-            low = t.lower()
-            words = _WORDS.findall(low)
-            k = max(len(words), 1)
-            for part in _SEGMENTS.split(t):
-                part = part.strip(" -–—_=")
-                if part:
-                    segments[i, np.searchsorted(SEGMENT_WORDS, max(len(_WORDS.findall(part)), 1))] += len(part)
-            counts = self._function_counts(low, words)
-            function[i] = min((float(_divergence(_normal(c[None]), self.prose[x][None])[0, 0]) for x, c in counts.items() if c[:-1].sum() > 0), default=1.0)
-            common[i] = max((c[:-1].sum() for c in counts.values()), default=0) / k
-            numbers[i] = sum(w[0].isdigit() for w in words) / k
-            repeated[i] = (max(Counter(words).values()) - 1) / (k - 1) if k > 1 else 0.0
-            pieces = [x for w in words for x in trigrams(w)]
-            seen[i] = sum(x in self.trigrams for x in pieces) / max(len(pieces), 1) if pieces else 1.0
-            long[i] = sum(len(w) for w in words if len(w) > LONG_WORD) / max(len(t), 1)
-            markup[i] = sum(map(len, _MARKUP.findall(t))) / max(len(t), 1)
-            bare[i] = markup[i] > 0 and not any(c.isalnum() for c in _MARKUP.sub("", t))
-            entries[i], length[i] = segments[i].astype(bool).sum() and sum(1 for x in _SEGMENTS.split(t) if x.strip(" -–—_=")), len(words)
-            lines = [x.rstrip() for x in t.splitlines() if x.strip()]
-            ended[i] = sum(x.endswith(_STOPS) for x in lines) / max(len(lines), 1)
-        full = np.maximum(chars.sum(1), 1)
-        vowels = chars[:, 0] / np.maximum(chars[:, 0] + chars[:, 1], 1)
-        vowels = np.where(chars[:, 0] + chars[:, 1] > 0.3 * full, vowels, 0.38)
-        return {"classes": _normal(chars), "segments": _normal(segments), "function": _share(function), "common": _share(common), "numbers": _share(numbers), "repeated": _share(repeated), "ended": _share(ended), "vowels": _share(vowels), "long": _share(long), "markup": _share(markup), "seen": _share(seen), "counts": np.stack([entries, length, chars[:, :_LETTERS].sum(1) / full, chars[:, _LATIN:_LETTERS].sum(1) / full, vowels, bare], 1)}
-
-    def distances(self, parts: dict[str, np.ndarray], to: dict[str, np.ndarray]) -> np.ndarray:
-        """Weighted mean divergence of descriptions from descriptions."""
-        total = sum(w for _, w in self.PARTS)
-        return sum(w * _divergence(parts[p], to[p]) for p, w in self.PARTS) / total
-
-    def fit(self, texts: list[str], kinds: list[str]) -> Profiles:
-        """Learns from labelled texts: a text that no profile of its kind is near starts one; a profile is the mean of its texts."""
-        self.fit_languages([t for t, k in zip(texts, kinds, strict=True) if k == "prose"])
-        parts = self.describe(texts)
-        chosen: list[dict[str, np.ndarray]] = []
-        for kind in KINDS:
-            at = [i for i, k in enumerate(kinds) if k == kind]
-            own = {p: x[at] for p, x in parts.items()}
-            left = np.arange(len(at))
-            while len(left):
-                seed = {p: x[left[:1]] for p, x in own.items()}
-                near = self.distances({p: x[left] for p, x in own.items()}, seed)[:, 0] < RADIUS
-                near[0] = True
-                chosen.append({p: x[left[near]].mean(0) for p, x in own.items()})
-                self.kinds.append(kind)
-                left = left[~near]
-        self.profiles = {p: np.stack([c[p] for c in chosen]) for p, _ in self.PARTS} if chosen else {}
+
+class Profiles:
+    """Prose profiles of the languages' function words, and structural profiles of the kinds."""
+
+    def __init__(self, languages: Languages):
+        self.languages = languages
+        self.priors = np.zeros(len(SHARES))
+        self.profiles = np.zeros((0, len(WEIGHTS)))
+        self.kinds = np.zeros(0, int)
+
+    def measure(self, texts: list[str]) -> np.ndarray:
+        """The MEASURES of each text, all of them sums over its characters, words, lines or segments."""
+        batch = Batch([plain(t) for t in texts])
+        lang, n, words = self.languages, batch.count, batch.words
+        classes = batch.classes()
+        hashes = batch.word_hashes()
+        by = lang.by_language(lang.counts(batch, hashes), words)
+        function, common = np.ones(n), np.zeros(n)
+        for x in lang.names:
+            own = by[x][:, :-1].sum(1)
+            some = np.flatnonzero(own)
+            if len(some):
+                w = np.ones(by[x].shape[1])
+                function[some] = np.minimum(function[some], divergences(_normal(by[x][some]), lang.prose[x][None], w))
+            common = np.maximum(common, own)
+        owner, keys = batch.sequences()
+        length = batch.end + 1 - batch.begin
+        long = length > LONG_WORD
+        segments, entries = batch.segments()
+        markup, outside = batch.markup()
+        ended, lines = batch.ended_lines()
+        digits = batch.has(_DIGIT)[batch.begin].astype(float)
+        sequences = batch.per_text(owner)
+        hits = {
+            "function": function * words, "common": common, "numbers": batch.per_text(batch.word_owner, digits), "repeated": batch.repeated(hashes), "ended": ended, "vowels": classes[:, 0],
+            "long": batch.per_text(batch.word_owner[long], length[long].astype(float)), "markup": markup, "seen": batch.per_text(owner, lang.seen(keys).astype(float)),
+        }
+        bases = [words, lines, classes[:, 0] + classes[:, 1], batch.sizes.astype(float), sequences, entries, outside]
+        return np.concatenate([classes, segments, np.stack([*(hits[s] for s, *_ in SHARES), *bases], 1)], 1)
+
+    def describe(self, measures: np.ndarray) -> np.ndarray:
+        """The parts of the description side by side, each a distribution."""
+        col = {c: measures[:, i] for i, c in enumerate(MEASURES)}
+        parts = [_normal(measures[:, : len(CLASSES)]), _normal(measures[:, len(CLASSES) : len(CLASSES) + len(SEGMENT_WORDS) + 1])]
+        shares = [self._share(col[s], col[b], m, p) for (s, b, m), p in zip(SHARES, self.priors, strict=True)]
+        shares += [col[c] / (col[c] + scale) for c, scale in COUNTS]
+        shares.append((col["outside"] > 0).astype(float))
+        for x in shares:
+            x = np.clip(x, 0, 1)
+            parts.append(np.stack([x, 1 - x], 1))
+        return np.concatenate(parts, 1)
+
+    @staticmethod
+    def _share(hits: np.ndarray, base: np.ndarray, added: float, prior: float) -> np.ndarray:
+        total = base + added
+        return np.divide(hits + added * prior, total, out=np.full(len(hits), float(prior)), where=total > 0)
+
+    def fit(self, measures: np.ndarray, kinds: list[str]) -> Profiles:
+        """Learns from the measures of labelled texts.
+
+        Of each kind the text farthest from all profiles so far becomes the next, until none is farther than RADIUS; every text then goes to
+        its nearest, and a profile is the mean of its texts. So profiles do not depend on the order of the texts.
+        """
+        col = {c: measures[:, i] for i, c in enumerate(MEASURES)}
+        self.priors = np.array([col[s].sum() / max(col[b].sum(), 1) for s, b, _ in SHARES])
+        d, chosen, owners = self.describe(measures), [], []
+        label = np.array([KINDS.index(k) for k in kinds], int)
+        for kind in range(len(KINDS)):
+            own = d[label == kind]
+            if not len(own):
+                continue
+            own = own[np.lexsort(own.T)]
+            entropy = _entropy(own)
+            least, home = np.full(len(own), np.inf), np.zeros(len(own), int)
+            at = int(divergences(own, own.mean(0)[None], WEIGHTS).argmin())
+            for k in range(len(own)):
+                x = np.maximum((_entropy((own + own[at]) / 2) - (entropy + entropy[at]) / 2) @ WEIGHTS, 0)
+                nearer = x < least
+                least[nearer], home[nearer] = x[nearer], k
+                least[at], home[at] = -1, k  # a text becomes a profile once
+                at = int(least.argmax())
+                if least[at] < RADIUS:
+                    break
+            for i in range(k + 1):
+                chosen.append(own[home == i].mean(0))
+                owners.append(kind)
+        self.profiles = np.stack(chosen) if chosen else self.profiles
+        self.kinds = np.array(owners, int)
         return self
 
     def kind_of(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """The kind of each text, its distance from the nearest profile, and its function words' divergence from prose."""
-        parts = self.describe(texts)
-        prose = parts["function"][:, 0]
-        if not self.profiles:
+        """The kind of each text, its distance from the nearest profile, and its function words' divergence from prose. Without labelled texts all are prose."""
+        m = self.measure(texts)
+        words = m[:, MEASURES.index("words")]
+        prose = np.divide(m[:, MEASURES.index("function")], words, out=np.ones(len(m)), where=words > 0)
+        if not len(self.kinds):
             return ["prose"] * len(texts), np.zeros(len(texts)), prose
-        d = self.distances(parts, self.profiles)
-        entries, length, letters, foreign, vowels, bare = parts["counts"].T
-        rows = np.array([k in ("list", "table") for k in self.kinds])
-        d = np.where((entries < FEW_ENTRIES)[:, None] & rows[None], np.inf, d)
-        nearest, least = d.argmin(1), d.min(1)
-        # A few words of ordinary letters are prose, however unlike the profiles they are; only words over and over are not.
-        short = (length <= FEW_WORDS) & (entries < FEW_ENTRIES) & (letters > 0.6) & (vowels > 0.15) & (vowels < 0.8) & (parts["repeated"][:, 0] < 0.6) & (parts["long"][:, 0] < 0.5) & ((parts["seen"][:, 0] >= SEEN) | (foreign > 0.5))
-        # Nothing but markup and link addresses is junk by definition.
-        kinds = ["junk" if bare[i] else "prose" if ok else "junk" if least[i] >= FAR else self.kinds[j] for i, (j, ok) in enumerate(zip(nearest, short, strict=True))]
-        return kinds, least, prose
+        at, least = nearest(self.describe(m), self.profiles, WEIGHTS)
+        return [KINDS[k] for k in self.kinds[at]], least, prose
 
 
-_TEXT = re.compile(r"[^\s\u0000-\u001f\u00a0\u00ad\u200b-\u200f\u2028-\u202f\u2060-\u206f\u3000\ufeff]")
+# Texts that are junk by definition: markup or link addresses only.
+MARKUP_ONLY = ("<p></p>", "<br/><hr/>&nbsp;", "<div><p></p></div><!-- - -->", "{{a}} {{b}}", "&nbsp;&nbsp;&amp;", "https://a.example/b", "www.a.example http://b.example/c?d=1")
+
+
+def by_definition(common: dict[str, list[str]]) -> tuple[list[str], list[str]]:
+    """Texts, and their kinds, that need no labels: a common word, alone and with another, is prose, over and over it is junk, as is bare markup."""
+    texts, kinds = list(MARKUP_ONLY), ["junk"] * len(MARKUP_ONLY)
+    for lang in sorted(common):
+        words = sorted(set(common[lang]))
+        gap = "" if any(map(_KANA.match, words)) else " "
+        for a, b in zip(words, words[1:] + words[:1], strict=True):
+            texts += [a, a + gap + b + ".", gap.join([a] * 7)]
+            kinds += ["prose", "prose", "junk"]
+    return texts, kinds
+
+
+def _with_definitions(profiles: Profiles, measures: np.ndarray, kinds: list[str], common: dict[str, list[str]]) -> tuple[np.ndarray, list[str]]:
+    texts, more = by_definition(common) if kinds else ([], [])
+    return np.concatenate([measures, profiles.measure(texts)]), [*kinds, *more]
+
+
+def learn_from(texts: list[str], kinds: list[str], common: dict[str, list[str]]) -> Profiles:
+    """Profiles from labelled texts at hand."""
+    languages = Languages(common)
+    profiles = Profiles(languages.fit(*languages.prose_part([t for t, k in zip(texts, kinds, strict=True) if k == "prose"])))
+    return profiles.fit(*_with_definitions(profiles, profiles.measure(texts), kinds, common))
+
+
+def _sliced(column: pa.Array) -> Iterable[tuple[int, list[str]]]:
+    """Texts of bounded total size, with the place of the first."""
+    texts = column.to_pylist()
+    for start, n in slices([len(t) for t in texts]):
+        yield start, texts[start : start + n]
+
+
+def _prose_parts(languages: Languages):
+    """Arrow batches of prose texts as rows (lang, at, n): counts of function words, and with lang -1 the known sequences, 64 bits a row."""
+
+    def run(batches):
+        for b in batches:
+            for _, texts in _sliced(b.column(0)):
+                counts, known = languages.prose_part(texts)
+                lang, at, n = [], [], []
+                for i, x in enumerate(languages.names):
+                    some = np.flatnonzero(counts[x])
+                    lang.append(np.full(len(some), i))
+                    at.append(some)
+                    n.append(counts[x][some].astype(np.int64))
+                word, first = np.unique(known >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.left_shift(np.uint64(1), (known & 63).astype(np.uint64)), first) if len(known) else np.zeros(0, np.uint64)
+                lang.append(np.full(len(word), -1))
+                at.append(word)
+                n.append(bits.view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (lang, at, n)], names=["lang", "at", "n"])
+
+    return run
+
+
+def _measured(profiles: Profiles):
+    def run(batches):
+        for b in batches:
+            for start, texts in _sliced(b.column(0)):
+                m = profiles.measure(texts)
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1) * len(MEASURES), pa.int32()), pa.array(m.ravel()))
+                yield pa.RecordBatch.from_arrays([b.column(1).slice(start, len(texts)), rows], names=["kind", "measures"])
+
+    return run
+
+
+def learn(documents: DataFrame, labelled: DataFrame, common: dict[str, list[str]]) -> Profiles:
+    """Profiles from the labelled documents, at most MAX_LABELLED of them.
+
+    Texts stay with the executors; the driver gets counts of function words, the known sequences (at most 2**KNOWN_BITS bits) and the
+    measures of the labelled texts. Labels of other kinds and labelled texts that are null are left out.
+    """
+    ids = labelled.select("doc_id", "kind").where(F.col("kind").isin(*KINDS)).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "kind").limit(MAX_LABELLED)
+    text = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    rows = materialize(text.join(F.broadcast(ids), "doc_id").select("text", "kind"), "labelled")  # ids: at most MAX_LABELLED
+    languages = Languages(common)
+    parts = rows.where("kind = 'prose'").select("text").mapInArrow(_prose_parts(languages), "lang bigint, at bigint, n bigint")
+    got = parts.groupBy("lang", "at").agg(F.sum("n").alias("n"), F.bit_or("n").alias("bits")).toArrow()
+    lang, at, n, bits = (got[c].to_numpy() for c in ("lang", "at", "n", "bits"))
+    counts = {x: np.zeros(len(languages.columns[x]) + 1) for x in languages.names}
+    for i, x in enumerate(languages.names):
+        counts[x][at[lang == i]] = n[lang == i]
+    words, bits = at[lang == -1], bits[lang == -1].view(np.uint64)
+    set_bits = (bits[:, None] >> np.arange(64, dtype=np.uint64)[None]) & np.uint64(1)
+    row, bit = np.nonzero(set_bits)
+    profiles = Profiles(languages.fit(counts, words[row] * 64 + bit))
+    known = rows.mapInArrow(_measured(profiles), "kind string, measures array<double>").toArrow()
+    measures = known["measures"].combine_chunks()
+    flat = measures.flatten().to_numpy() if known.num_rows else np.zeros(0)
+    return profiles.fit(*_with_definitions(profiles, flat.reshape(-1, len(MEASURES)), known["kind"].to_pylist(), common))
 
 
 def _classify(profiles: Profiles):
     def run(batches):
-        for pdf in batches:
-            texts = [t if isinstance(t, str) and _TEXT.search(t) else None for t in pdf["text"]]
+        for b in batches:
+            texts = [t if t is not None and _TEXT.search(t) else None for t in b.column(1).to_pylist()]
             at = [i for i, t in enumerate(texts) if t is not None]
             kinds, far, prose = np.full(len(texts), None, object), np.full(len(texts), np.nan), np.full(len(texts), np.nan)
             for start, n in slices([len(texts[i]) for i in at]):
                 part = at[start : start + n]
                 kinds[part], far[part], prose[part] = profiles.kind_of([texts[i] for i in part])
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "kind": kinds, "distance": far, "prose_divergence": prose})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.string()), pa.array(far, from_pandas=True), pa.array(prose, from_pandas=True)], names=["doc_id", "kind", "distance", "prose_divergence"])
 
     return run
 
 
-def learn(documents: DataFrame, labelled: DataFrame, common: dict[str, list[str]]) -> Profiles:
-    """Profiles from the labelled documents, at most MAX_LABELLED of them."""
-    text = documents.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    sample = labelled.select("doc_id", "kind").where(F.col("kind").isin(*KINDS)).join(text, "doc_id").orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(MAX_LABELLED)
-    rows = sample.collect()
-    return Profiles(common).fit([r["text"] for r in rows], [r["kind"] for r in rows])
-
-
 def text_kinds(documents: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, kind, distance, prose_divergence) of every document.
 
     Null, empty and blank texts have null in all but doc_id. Without any profile every text is prose. Texts are read whole; only doc_id and text are read.
     """
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInPandas(_classify(profiles), "doc_id bigint, kind string, distance double, prose_divergence double")
+    return texts.mapInArrow(_classify(profiles), "doc_id bigint, kind string, distance double, prose_divergence double")
 
 
 def text_statistics(documents: DataFrame, common_words: list[str]) -> DataFrame:

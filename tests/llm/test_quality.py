@@ -16,7 +16,7 @@ JUNK = ["qwrtplk zxcvb mnbvcx", "ok ok ok ok ok ok ok ok ok", "?????????????", "
 def profiles():
     texts = PROSE + LISTS + TABLES + JUNK
     kinds = ["prose"] * 3 + ["list"] * 3 + ["table"] * 3 + ["junk"] * 4
-    return Q.Profiles(COMMON).fit(texts, kinds), texts, kinds
+    return Q.learn_from(texts, kinds, COMMON), texts, kinds
 
 
 def test_divergence_is_jensen_shannon():
@@ -24,8 +24,21 @@ def test_divergence_is_jensen_shannon():
     p, q = r.dirichlet(np.ones(6), 4), r.dirichlet(np.ones(6), 3)
     kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b))
     want = [[(kl(a, (a + b) / 2) + kl(b, (a + b) / 2)) / 2 for b in q] for a in p]
-    assert np.allclose(Q._divergence(p, q), want)
-    assert Q._divergence(np.array([[1.0, 0]]), np.array([[0, 1.0]]))[0, 0] == 1
+    one = np.ones(6)
+    assert np.allclose([[Q.divergences(a[None], b[None], one)[0] for b in q] for a in p], want)
+    assert Q.divergences(np.array([[1.0, 0]]), np.array([[0, 1.0]]), np.ones(2))[0] == 1
+
+
+def test_nearest_is_the_least_divergence():
+    """The bound by Hellinger distances leaves out no nearest row, also with sparse, equal and several distributions in a row."""
+    r = np.random.default_rng(2)
+    for sharp in (0.02, 0.3, 5):
+        p, q = (np.concatenate([r.dirichlet(np.full(7, sharp), n), r.dirichlet(np.full(3, sharp), n)], 1) for n in (300, 80))
+        p, q = np.where(p < 1e-6, 0, p), np.concatenate([q, q[:5]])
+        w = np.concatenate([np.full(7, 0.7), np.full(3, 0.3)])
+        every = np.stack([Q.divergences(p, q[[j]], w) for j in range(len(q))], 1)
+        index, least = Q.nearest(p, q, w)
+        assert np.allclose(least, every.min(1)) and np.allclose(every[np.arange(len(p)), index], every.min(1))
 
 
 def test_learnt_texts_keep_their_kind():
@@ -39,7 +52,7 @@ def test_kinds_by_definition():
 
 
 def test_no_profiles_is_prose():
-    assert Q.Profiles(COMMON).fit([], []).kind_of(["- a\n- b"])[0] == ["prose"]
+    assert Q.learn_from([], [], COMMON).kind_of(["- a\n- b"])[0] == ["prose"]
 
 
 def test_documents(spark):
@@ -79,5 +92,22 @@ def test_every_labelled_text_has_a_profile(monkeypatch):
     """A kind may need any number of profiles: without a radius each text is one."""
     monkeypatch.setattr(Q, "RADIUS", 0.0)
     texts = [f"- lid {i}\n- cup\n- strap {i}" for i in range(250)]
-    p = Q.Profiles(COMMON).fit(texts, ["list"] * 250)
-    assert len(p.kinds) == len(p.profiles["classes"]) == 250
+    p = Q.learn_from(texts, ["list"] * 250, COMMON)
+    assert len(p.kinds) == len(p.profiles) and sum(p.kinds == Q.KINDS.index("list")) == 250
+
+
+def test_long_markup_and_many_beginnings():
+    """Tags, comments and placeholders count whatever their length, and beginnings without an end are not searched over and over."""
+    p = Q.learn_from(PROSE, ["prose"] * 3, COMMON)
+    at = {c: i for i, c in enumerate(Q.MEASURES)}
+    texts = [f"<a {'x' * 5000}>", "{{" + "y" * 500 + "}}", "<!--" + "z" * 900 + "-->", "<!--" * 20000, "&" * 20000 + "{{" * 20000]
+    m = p.measure(texts)
+    assert m[:3, at["markup"]].tolist() == [len(t) for t in texts[:3]] and not m[:3, at["outside"]].any()
+    assert m[3, at["markup"]] == m[4, at["markup"]] == 0
+
+
+def test_measures_do_not_depend_on_neighbours():
+    p, texts, _ = profiles()
+    odd = [*texts, "a", "'", "İstanbul ǅ", "the'the the’", "\u2028", "ok ok", "のです", "\ufffd", "x" * 3000]
+    each = np.concatenate([p.measure([t]) for t in odd])
+    assert np.allclose(p.measure(odd), each)
