@@ -535,11 +535,11 @@ def learn(documents: DataFrame, labelled: DataFrame, common: dict[str, list[str]
     rows = materialize(text.join(F.broadcast(ids), "doc_id").select("text", "kind"), "labelled")  # ids: at most MAX_LABELLED
     languages = Languages(common)
     parts = rows.where("kind = 'prose'").select("text").mapInArrow(_prose_parts(languages), "lang bigint, at bigint, n bigint")
-    got = parts.groupBy("lang", "at").agg(F.sum("n").alias("n"), F.bit_or("n").alias("bits")).toArrow()
+    got = parts.groupBy("lang", "at").agg(F.sum(F.when(F.col("lang") >= 0, F.col("n"))).alias("n"), F.bit_or("n").alias("bits")).toArrow()
     lang, at, n, bits = (got[c].to_numpy() for c in ("lang", "at", "n", "bits"))
     counts = {x: np.zeros(len(languages.columns[x]) + 1) for x in languages.names}
     for i, x in enumerate(languages.names):
-        counts[x][at[lang == i]] = n[lang == i]
+        counts[x][at[lang == i]] = n[lang == i].astype(float)
     words, bits = at[lang == -1], bits[lang == -1].view(np.uint64)
     set_bits = (bits[:, None] >> np.arange(64, dtype=np.uint64)[None]) & np.uint64(1)
     row, bit = np.nonzero(set_bits)
