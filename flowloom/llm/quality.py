@@ -57,6 +57,9 @@ class _Characters:
         self.lower = np.arange(0x110000, dtype=np.uint32)
         self.known = np.zeros(0x110000, bool)
 
+    def __reduce__(self):
+        return _Characters, ()  # a task fills its own, so that none travels
+
     def see(self, points: np.ndarray) -> None:
         fresh = points[~self.known[points]]
         for p in np.unique(fresh).tolist():
