@@ -3,12 +3,14 @@
 Records are canonicalised and hashed field by field. Two records that differ in at most three fields agree in at least
 one of four blocks of fields, so the hashes of the blocks are joined, evaluation against training; a sketch of four bits a
 field, which never overstates the difference, drops nearly all chance partners, and the rest are compared exactly.
-Exact copies (equal in all four block hashes) are one class with one representative. A block value that too many records share
-is split by blocks of the remaining fields, again losing no pair, instead of being paired in full.
+Exact copies are one class with one representative, and only representatives are paired. A block value that too many records share
+is split by blocks of the remaining fields, again losing no pair, until at most three fields are left: records that still share
+a value then are near by construction.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
@@ -22,7 +24,7 @@ from flowloom.schema import FEATURES
 from flowloom.session import materialize
 
 MAX_DIFFERENT, BLOCKS = 3, 4
-HOT_PAIRS, LEVELS = 250_000, 4  # pairs of one block value above which it is split further, and how often
+HOT_PAIRS = 250_000  # pairs of one block value above which it is split further
 BROADCAST_IDS = 500_000  # at most 4 MB of row ids; above, the same join shuffles
 TRAIN, EVAL = 1, 2
 
@@ -38,7 +40,7 @@ _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(
 
 
 def records(flows: DataFrame) -> DataFrame:
-    """(id, side, f0..f42): row id, 1 for train and 2 for val and test, and the compared fields; rows without a split are left out.
+    """(id, side, g, f0..f42): row id, 1 for train and 2 for val and test, 16-byte flow group, and the compared fields; rows without a split are left out.
 
     Addresses are compared as numbers, those that name no host included; unreadable ones are missing. -0.0 is 0.0.
     """
@@ -51,7 +53,8 @@ def records(flows: DataFrame) -> DataFrame:
         kind = dict(flows.dtypes)[f]
         return F.col(f) + F.lit(0.0) if kind in ("double", "float") else F.col(f).cast("bigint")
 
-    return flows.select(F.col("source_row_id").alias("id"), side.alias("side"), *[value(f).alias(f"f{i}") for i, f in enumerate(FIELDS)]).where("side IS NOT NULL")
+    fields = [value(f).alias(f"f{i}") for i, f in enumerate(FIELDS)]
+    return flows.select(F.col("source_row_id").alias("id"), side.alias("side"), F.unhex(canon.group_key("flow_group_id")).alias("g"), *fields).where("side IS NOT NULL")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -78,27 +81,26 @@ def _joined(hashes: list[np.ndarray], fields: list[int], seed: int) -> np.ndarra
     return _mixed(reduce(np.add, (hashes[i] for i in fields), np.uint64(seed)))
 
 
-def _fingerprints(batches):
-    for b in batches:
-        with np.errstate(over="ignore"):
-            h = _field_hashes(b, 2)
-            keys = [_joined(h, list(range(k, len(FIELDS), BLOCKS)), k).view(np.int64) for k in range(BLOCKS)]
-            words = []
-            for w in range(3):
-                v = np.zeros(b.num_rows, np.uint64)
-                for j, i in enumerate(range(16 * w, min(16 * w + 16, len(FIELDS)))):
-                    v |= (h[i] & np.uint64(15)) << np.uint64(4 * j)
-                words.append(v.view(np.int64))
-        yield pa.RecordBatch.from_arrays([b.column(0), pc.cast(b.column(1), pa.int32()), *map(pa.array, keys), *map(pa.array, words)], names=["id", "side", "k0", "k1", "k2", "k3", "v0", "v1", "v2"])
-
-
 _KEYS = [f"k{i}" for i in range(BLOCKS)]
 _WORDS = ["v0", "v1", "v2"]
 
 
 def fingerprints(flows: DataFrame) -> DataFrame:
-    """(id, side, k0..k3, v0..v2): block hashes and sketch of every row that has a split."""
-    return records(flows).mapInArrow(_fingerprints, "id bigint, side int, k0 bigint, k1 bigint, k2 bigint, k3 bigint, v0 bigint, v1 bigint, v2 bigint")
+    """(id, side, g, k0..k3, c, v0..v2): block hashes, a hash of all four, and the sketch of every row that has a split, computed in the JVM.
+
+    The hash of a block takes in which of its fields are missing, so that a missing value equals nothing but a missing one.
+    """
+    field = [F.col(f"f{i}") for i in range(len(FIELDS))]
+    keys = []
+    for k in range(BLOCKS):
+        own = range(k, len(FIELDS), BLOCKS)
+        missing = reduce(lambda a, b: a.bitwiseOR(b), [F.when(field[i].isNull(), 1 << n).otherwise(0) for n, i in enumerate(own)])
+        keys.append(F.xxhash64(F.lit(k), missing, *[field[i] for i in own]).alias(f"k{k}"))
+    words = []
+    for w in range(3):
+        four_bits = [F.shiftleft(F.xxhash64(F.lit(i), field[i]).bitwiseAND(F.lit(15)), 4 * j) for j, i in enumerate(range(16 * w, min(16 * w + 16, len(FIELDS))))]
+        words.append(reduce(lambda a, b: a.bitwiseOR(b), four_bits).alias(f"v{w}"))
+    return records(flows).select("id", "side", "g", *keys, *words).withColumn("c", F.xxhash64(*_KEYS))
 
 
 def _split_fields(path: int, level: int) -> list[list[int]]:
@@ -110,6 +112,10 @@ def _split_fields(path: int, level: int) -> list[list[int]]:
     return [left[k::BLOCKS] for k in range(BLOCKS)]
 
 
+# The last block is the smallest, so choosing it every time leaves the most fields: after so many levels at most three, and records that share a value are near.
+LEVELS = next(n for n in range(1, 32) if sum(map(len, _split_fields((1 << 2 * n) - 1, n))) <= MAX_DIFFERENT)
+
+
 def _finer(level: int):
     def run(batches):
         for b in batches:
@@ -120,7 +126,11 @@ def _finer(level: int):
                 for p in np.unique(path):
                     at = np.flatnonzero(path == p)
                     rows = pa.array(at)
-                    for k, fields in enumerate(_split_fields(int(p), level)):
+                    blocks = _split_fields(int(p), level)
+                    if sum(map(len, blocks)) <= MAX_DIFFERENT:
+                        yield pa.RecordBatch.from_arrays([b.column(j).take(rows) for j in range(7)], names=["k", "path", "rep", "sides", *_WORDS])
+                        continue
+                    for k, fields in enumerate(blocks):
                         new = _mixed(key[at] ^ _joined([x[at] for x in h], fields, 1000 * level + k)).view(np.int64)
                         kept = [b.column(j).take(rows) for j in range(2, 7)]
                         yield pa.RecordBatch.from_arrays([pa.array(new), pa.array(path[at] + (k << (2 * level))), *kept], names=["k", "path", "rep", "sides", *_WORDS])
@@ -160,26 +170,54 @@ def _candidates(classes: DataFrame, flows: DataFrame) -> DataFrame:
             found.append(_pairs(blocks))
             break
         found.append(_pairs(blocks.join(common, "k", "left_anti")))
-        hot = blocks.join(common, "k").withColumnRenamed("rep", "id")
-        fields = records(flows).drop("side")
+        hot = materialize(blocks.join(common, "k").withColumnRenamed("rep", "id"), "hot")
+        fields = _records_of(flows, hot.select("id"))
         wide = hot.join(fields, "id").select("k", "path", "id", "sides", *_WORDS, *[f"f{i}" for i in range(len(FIELDS))])
         blocks = materialize(wide.mapInArrow(_finer(level), "k bigint, path int, rep bigint, sides int, v0 bigint, v1 bigint, v2 bigint"), "finer")
     return reduce(DataFrame.unionByName, found).distinct()
 
 
+def _records_of(flows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, f0..f42) of some row ids, chosen before anything is computed of the rows."""
+    ids = materialize(ids.distinct(), "ids")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    chosen = flows.select("source_row_id", "split", "flow_group_id", *FIELDS).join(ids.withColumnRenamed("id", "source_row_id"), "source_row_id")
+    return records(chosen).drop("side", "g")
+
+
 def _verified(candidates: DataFrame, flows: DataFrame) -> DataFrame:
     """The candidates that differ in at most three fields."""
     kept = materialize(candidates, "candidates")
-    ids = kept.select(F.explode(F.array("t", "e")).alias("id")).distinct()
-    ids = materialize(ids, "ids")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    fields = materialize(records(flows).drop("side").join(ids, "id"), "fields")
+    fields = materialize(_records_of(flows, kept.select(F.explode(F.array("t", "e")).alias("id"))), "fields")
     a, b = fields.alias("a"), fields.alias("b")
     apart = sum((F.when(F.col(f"a.f{i}").eqNullSafe(F.col(f"b.f{i}")), 0).otherwise(1) for i in range(len(FIELDS))), F.lit(0))
     return kept.join(a, F.col("t") == F.col("a.id")).join(b, F.col("e") == F.col("b.id")).where(apart <= MAX_DIFFERENT).select("t", "e")
 
 
+@dataclass(frozen=True)
+class Overlap:
+    """What two sides share, without any pairs of rows.
+
+    prints: id, side and flow group of every row. members: (rep, id, side) of the classes of more than one row; any other class is its
+    representative alone. near: (t, e), representatives of a class with train rows and of another with evaluation rows.
+    """
+
+    prints: DataFrame
+    members: DataFrame
+    near: DataFrame
+
+
+def overlap_classes(flows: DataFrame) -> Overlap:
+    """Exact copies as classes, and the near pairs of their representatives."""
+    prints = materialize(fingerprints(flows), "prints")
+    classes = prints.groupBy("c", "k0").agg(F.min("id").alias("rep"), F.bit_or("side").alias("sides"), F.count(F.lit(1)).alias("n"), *[F.first(w).alias(w) for w in (*_KEYS[1:], *_WORDS)])
+    classes = materialize(classes, "classes")
+    copies = classes.where("n > 1").select("rep", "c", "k0")
+    members = materialize(prints.select("id", "side", "c", "k0").join(copies, ["c", "k0"]).select("rep", "id", "side"), "members")
+    return Overlap(prints.select("id", "side", "g"), members, materialize(_verified(_candidates(classes, flows), flows), "near"))
+
+
 def _ordered(a: str, b: str) -> list[Column]:
     return [F.least(a, b).alias("row_id_a"), F.greatest(a, b).alias("row_id_b")]
 
@@ -189,33 +227,45 @@ def overlap_pairs(flows: DataFrame) -> DataFrame:
 
     Missing equals missing only; a missing group is no group. Rows without a split take no part; a repeated row id stands for each
     of its rows. Empty input gives no rows, extra columns are ignored. Lost is nothing: hot block values are split, never capped.
+    All pairs are spelled out here, as the definition of the cases wants it; `overlap_report` and `overlapping_rows` do without.
     """
-    prints = fingerprints(flows)
-    classes = prints.groupBy(*_KEYS).agg(F.min("id").alias("rep"), F.bit_or("side").alias("sides"), F.count(F.lit(1)).alias("n"), *[F.first(w).alias(w) for w in _WORDS])
-    classes = materialize(classes, "classes")
-    copies = classes.where("n > 1").select("rep", *_KEYS)
-    members = materialize(prints.select("id", "side", *_KEYS).join(copies, _KEYS).select("rep", "id", "side"), "members")
-    near = _verified(_candidates(classes, flows), flows)
-    trains = members.where(F.col("side") == TRAIN).select(F.col("rep").alias("t"), F.col("id").alias("ti"))
-    evals = members.where(F.col("side") == EVAL).select(F.col("rep").alias("e"), F.col("id").alias("ei"))
+    got = overlap_classes(flows)
+    trains = got.members.where(F.col("side") == TRAIN).select(F.col("rep").alias("t"), F.col("id").alias("ti"))
+    evals = got.members.where(F.col("side") == EVAL).select(F.col("rep").alias("e"), F.col("id").alias("ei"))
     # A class of one has no row in members; its representative stands for itself.
-    spread = near.join(trains, "t", "left").join(evals, "e", "left").select(F.coalesce("ti", "t").alias("x"), F.coalesce("ei", "e").alias("y"))
+    spread = got.near.join(trains, "t", "left").join(evals, "e", "left").select(F.coalesce("ti", "t").alias("x"), F.coalesce("ei", "e").alias("y"))
     exact = trains.join(evals, F.col("t") == F.col("e")).select(F.col("ti").alias("x"), F.col("ei").alias("y"))
-    name = canon.split_name("split")
-    grouped = flows.select(F.unhex(canon.group_key("flow_group_id")).alias("g"), F.col("source_row_id").alias("id"), name.alias("s")).where("g IS NOT NULL AND s IS NOT NULL")
-    a = grouped.where("s = 'train'").select("g", F.col("id").alias("x"))
-    b = grouped.where("s <> 'train'").select("g", F.col("id").alias("y"))
+    grouped = got.prints.where("g IS NOT NULL")
+    a = grouped.where(F.col("side") == TRAIN).select("g", F.col("id").alias("x"))
+    b = grouped.where(F.col("side") == EVAL).select("g", F.col("id").alias("y"))
     same = a.join(b, "g").select("x", "y")
     return spread.unionByName(exact).unionByName(same).select(*_ordered("x", "y")).distinct()
 
 
+def overlapping_rows(flows: DataFrame) -> DataFrame:
+    """(id) of the evaluation rows that occur in train: of a class or a flow group that train has rows of, or near a class that it has rows of.
+
+    The result and all that leads to it are linear in the rows: no pairs of rows are made. Each id once.
+    """
+    got = overlap_classes(flows)
+    near = got.near.select(F.col("e").alias("rep")).distinct()
+    evals = got.members.where(F.col("side") == EVAL)
+    both = got.members.groupBy("rep").agg(F.bit_or("side").alias("sides")).where(F.col("sides") == TRAIN + EVAL).select("rep")
+    hit = evals.join(both.unionByName(near).distinct(), "rep").select("id")
+    # A representative may itself be a train row of a class that has evaluation rows too, so only evaluation rows are kept.
+    alone = got.prints.where(F.col("side") == EVAL).join(near.withColumnRenamed("rep", "id"), "id", "left_semi").select("id")
+    grouped = got.prints.where("g IS NOT NULL")
+    mixed = grouped.groupBy("g").agg(F.bit_or("side").alias("sides")).where(F.col("sides") == TRAIN + EVAL).select("g")
+    same = grouped.where(F.col("side") == EVAL).join(mixed, "g").select("id")
+    return hit.unionByName(alone).unionByName(same).distinct()
+
+
 def overlap_report(flows: DataFrame) -> DataFrame:
     """(split, dataset, attack, rows, in_train): evaluation rows by split, Dataset and class key, and how many occur in train.
 
     A missing Dataset or class is a group of its own.
     """
-    pairs = overlap_pairs(flows)
-    hit = pairs.select(F.explode(F.array("row_id_a", "row_id_b")).alias("id")).distinct().withColumn("hit", F.lit(1))
+    hit = overlapping_rows(flows).withColumn("hit", F.lit(1))
     rows = flows.select(F.col("source_row_id").alias("id"), canon.split_name("split").alias("split"), canon.word_key("Dataset").alias("dataset"), canon.word_key("Attack").alias("attack"))
     rows = rows.where("split IN ('val', 'test')").join(hit, "id", "left")
     return rows.groupBy("split", "dataset", "attack").agg(F.count(F.lit(1)).alias("rows"), F.count("hit").alias("in_train"))

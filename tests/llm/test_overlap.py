@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 
 from flowloom.llm import overlap
-from flowloom.llm.overlap import FIELDS, overlap_pairs, overlap_report
+from flowloom.llm.overlap import FIELDS, overlap_classes, overlap_pairs, overlap_report, overlapping_rows
 
 ADDRESS = ("IPV4_SRC_ADDR", "IPV4_DST_ADDR")
 
@@ -73,3 +73,34 @@ def test_report(flows):
     rows = [{"split": "train"}, {"split": "val", "Attack": " benign"}, {"split": "test", "Attack": "DDoS", **{f: 99 for f in FIELDS[:2] + FIELDS[2:6] if f.startswith(("D", "I", "F", "L4")) and f not in ADDRESS}}, {"split": "test", "Attack": None}]
     got = Counter({(r["split"], r["attack"]): (r["rows"], r["in_train"]) for r in overlap_report(flows(rows)).collect()})
     assert got["val", "benign"] == (1, 1) and got["test", None] == (1, 1) and got["test", "ddos"] == (1, 0)
+
+
+def test_report_of_noise_equals_brute_force(flows, monkeypatch):
+    """The report makes no pairs, yet finds the rows that the pairs name."""
+    monkeypatch.setattr(overlap, "HOT_PAIRS", 2)
+    rows = noisy(120, 8, 3)
+    ends = {i for p in brute(rows) for i in p}
+    want = {i for i in ends if rows[i - 1]["split"] in ("val", "test")}
+    got = [r["id"] for r in overlapping_rows(flows(rows)).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_report_of_many_copies_is_linear(spark, flows):
+    """20 000 train and 20 000 test copies would be 400 million pairs; so would a flow group of as many rows."""
+    from pyspark.sql import functions as F
+
+    one = flows([{}]).drop("source_row_id", "split", "flow_group_id", "IN_BYTES")
+    copies = one.crossJoin(spark.range(40_000).select((F.col("id") + 1).alias("source_row_id"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"), F.lit(None).cast("string").alias("flow_group_id"), F.lit(7).cast("bigint").alias("IN_BYTES")))
+    got = overlap_classes(copies)
+    assert got.members.count() == 40_000 and got.members.select("rep").distinct().count() == 1 and got.near.count() == 0
+    assert [(r["rows"], r["in_train"]) for r in overlap_report(copies).collect()] == [(20_000, 20_000)]
+    group = one.drop("IPV4_SRC_ADDR").crossJoin(spark.range(40_000).select((F.col("id") + 1).alias("source_row_id"), F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"), F.lit("a" * 32).alias("flow_group_id"), F.col("id").alias("IN_BYTES"), F.concat(F.lit("10.0."), F.floor(F.col("id") / 200).cast("string"), F.lit("."), (F.col("id") % 200).cast("string")).alias("IPV4_SRC_ADDR")))
+    group = group.withColumns({f: F.col("source_row_id") * (i + 3) for i, f in enumerate(("OUT_BYTES", "IN_PKTS", "OUT_PKTS", "MAX_TTL", "L4_SRC_PORT", "MIN_TTL", "DURATION_IN", "DURATION_OUT"))})
+    assert [(r["rows"], r["in_train"]) for r in overlap_report(group).collect()] == [(20_000, 20_000)]
+
+
+def test_missing_is_told_from_its_neighbour(flows):
+    """Values that move from one field of a block to another are no copy: three rows of two classes, near as two fields differ."""
+    a, b = FIELDS[17], FIELDS[21]
+    got = overlap_classes(flows([{"split": "train", a: None, b: 5}, {"split": "test", a: 5, b: None}, {"split": "test", a: None, b: 5}]))
+    assert got.members.count() == 2 and got.near.count() == 1
