@@ -11,6 +11,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# HotSpot leaves methods over 8000 bytes uncompiled; wide expressions run faster split up than fused but interpreted.
+HUGE_METHOD = ("spark.sql.codegen.hugeMethodLimit", "8000")
+
+
 def local_session(cores: str = "*", **conf: str) -> SparkSession:
     """A session for tests and the bench; clusters bring their own."""
     b = SparkSession.builder.master(f"local[{cores}]").appName("flowloom")
@@ -20,8 +24,6 @@ def local_session(cores: str = "*", **conf: str) -> SparkSession:
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": "8g",
-        # HotSpot leaves methods over 8000 bytes uncompiled; wide expressions run faster split up than fused but interpreted.
-        "spark.sql.codegen.hugeMethodLimit": "8000",
     }
     for k, v in (defaults | conf).items():
         b = b.config(k, v)
@@ -67,5 +69,8 @@ def discard(df: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a data folder."""
+    """One of the Parquet tables of a data folder. A session that leaves the limit of generated methods alone gets the one that HotSpot compiles."""
+    key, limit = HUGE_METHOD
+    if spark.conf.get(key) == "65535":  # Spark's own value
+        spark.conf.set(key, limit)
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
