@@ -13,7 +13,7 @@ from flowloom.llm.overlap import overlap_pairs, overlap_pairs_sql, overlap_repor
 from flowloom.llm.quality import Profiles, learn, text_kinds, text_statistics, text_statistics_sql
 from flowloom.llm.splits import assign_splits
 from flowloom.llm.stable import stable_sample, stable_sample_sql
-from flowloom.llm.targets import REPORT, Target, draw, plan_sample, prepared
+from flowloom.llm.targets import REPORT, Target, draw, placed_rows, plan_sample, prepared
 from flowloom.session import table
 
 
@@ -74,18 +74,26 @@ def p3_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows drawn for each plan."""
     targets = _targets(spark, sf_dir)
     rows = _plan_rows(spark, sf_dir, targets)
-    quotas, _ = plan_sample(rows, list(FIELDS), targets)
-    return draw(rows, list(FIELDS), targets, quotas).select("plan_id", "source_row_id")
+    placed = placed_rows(rows, list(FIELDS), targets)
+    quotas, _ = plan_sample(rows, list(FIELDS), targets, placed)
+    return draw(rows, list(FIELDS), targets, quotas, placed).select("plan_id", "source_row_id")
 
 
-def _p3_found_sql() -> str:
+def p3_supply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each target can count on: rows of its split, size of the sample, rows of the category, and whether that is too few."""
+    return p3_report(spark, sf_dir).select("plan_id", "split", "category_field", "category", "split_rows", "size", "available", "short")
+
+
+def _p3_sql(columns: str, only: str = "") -> str:
     have = f"""(SELECT count(*) FROM flow WHERE flow.split = t.split AND
       CASE WHEN t.category_field = 'Attack' THEN word = {canon.word_key_sql("t.category")} ELSE CAST(label AS VARCHAR) = t.category END)"""
     return f"""
 WITH flow AS (SELECT {canon.split_name_sql("split")} AS split, {canon.word_key_sql("Attack")} AS word, Label AS label FROM full_splits),
-t AS (SELECT *, (SELECT count(*) FROM flow WHERE flow.split = s.split) * sample_pct // 100 AS size FROM sampling_targets s),
-c AS (SELECT *, {have} AS have FROM t)
-SELECT plan_id, split, category FROM c WHERE have * 100 < target_pct * size OR have < min_rows"""
+n AS (SELECT *, (SELECT count(*) FROM flow WHERE flow.split = s.split) AS split_rows FROM sampling_targets s),
+t AS (SELECT *, split_rows * sample_pct // 100 AS size FROM n),
+c AS (SELECT *, {have} AS available FROM t),
+d AS (SELECT *, available * 100 < target_pct * size OR available < min_rows AS short FROM c)
+SELECT {columns} FROM d{only}"""
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -157,13 +165,14 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_sample, p1_before, p2_found, p2_assign, p2_report, p3_found, p3_report, p3_sample, p5_found, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kinds, p8_stats)
+    for f in (p1_sample, p1_before, p2_found, p2_assign, p2_report, p3_found, p3_supply, p3_report, p3_sample, p5_found, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kinds, p8_stats)
 }
 SQL = {
     "p1_sample": stable_sample_sql(["full_splits", "late_flows"], STABLE_SHARE),
     "p1_before": stable_sample_sql(["full_splits"], STABLE_SHARE),
     "p2_found": split_clusters_sql("full_splits"),
-    "p3_found": _p3_found_sql(),
+    "p3_found": _p3_sql("plan_id, split, category", " WHERE short"),
+    "p3_supply": _p3_sql("plan_id, split, category_field, category, split_rows, size, available, short"),
     "p5_found": overlap_pairs_sql("full_splits"),
     "p5_report": overlap_report_sql("full_splits"),
     "p8_stats": text_statistics_sql("documents", "common_words"),

@@ -3,7 +3,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from flowloom.functions import canon
-from flowloom.llm.targets import Target, draw, plan_sample, prepared, rake, repair, whole
+from flowloom.llm.targets import Target, draw, drawn_by_key, placed_rows, plan_sample, prepared, rake, raked_plans, repair, settle, whole
 
 FIELDS = ("Attack", "Label")
 
@@ -59,3 +59,44 @@ def test_raking_caps_and_rounding():
     assert abs(q["a",] - 10) < 1e-6 and abs(q["b",] - 50) < 1e-6
     assert sum(whole({("a",): 1.5, ("b",): 1.5}, {("a",): 9, ("b",): 9}, 3).values()) == 3
     assert repair({("a",): 0, ("b",): 50}, counts, [{"a": 4}]) == {("a",): 4, ("b",): 46}
+
+
+def test_keys_decide_the_draw(flows):
+    """Two plans of other weights draw other rows, and each cell's number before any repair is that of the smallest keys of the whole plan."""
+    import math
+
+    rows = [{"Attack": a, "Label": 0} for a, n in (("Benign", 300), ("DDoS", 300), ("DoS", 300)) for _ in range(n)]
+    targets = [target("a", "Attack", "Benign", 60), target("a", "Attack", "DDoS", 30), target("a", "Attack", "DoS", 10), target("b", "Attack", "Benign", 10), target("b", "Attack", "DDoS", 30), target("b", "Attack", "DoS", 60)]
+    df, quotas, report = setup(flows, rows, targets)
+    placed = placed_rows(df, list(FIELDS), targets)
+    plans = raked_plans(targets, {"train": {("benign", ""): 300, ("ddos", ""): 300, ("dos", ""): 300}}, list(FIELDS))
+    counted = drawn_by_key(placed, plans)
+    for p in plans:
+        keyed = sorted((-math.log1p(-(r["h"] + 0.5) / 2**60) / p.weight((r["cell"].split("|")[1],)), r["id"], r["cell"]) for r in placed.collect() if r["plan_id"] == p.plan)
+        want = Counter(c.split("|")[1] for _, _, c in keyed[: p.drawn_size])
+        assert {c[0]: n for c, n in counted[p.plan, "train"].items()} == want
+        assert all(abs(n - p.expected[c]) < 5 * p.expected[c] ** 0.5 for c, n in counted[p.plan, "train"].items())
+    got = draw(df, list(FIELDS), targets, quotas).collect()
+    one, two = ({r["source_row_id"] for r in got if r["plan_id"] == p} for p in "ab")
+    assert len(one) == len(two) == 450 and one != two
+    assert all(r[13] == 0 and r[14] == 450 for r in report.values())
+
+
+def test_settling_keeps_other_margins():
+    counts = {("a", "x"): 50, ("a", "y"): 50, ("b", "x"): 50, ("b", "y"): 50}
+    drawn = {("a", "x"): 12, ("a", "y"): 11, ("b", "x"): 8, ("b", "y"): 9}
+    out = settle(drawn, counts, [{"a": 20, "b": 20}, {"x": 20, "y": 20}])
+    assert sum(out.values()) == 40 and all(out[c] <= counts[c] for c in out)
+    assert out["a", "x"] + out["a", "y"] == 20 == out["a", "x"] + out["b", "x"]
+
+
+def test_repair_of_large_minimums_is_done_at_once():
+    counts = {(f"k{i}", l): 10**9 for i in range(30) for l in "01"} | {("rare", "0"): 10**8}
+    quota = dict.fromkeys(counts, 10**6) | {("rare", "0"): 0}
+    out = repair(quota, counts, [{"rare": 10**7, "k3": 10**6}, {"0": 5}])
+    assert out["rare", "0"] == 10**7 and sum(out.values()) == sum(quota.values()) and out["k3", "0"] + out["k3", "1"] >= 10**6
+
+
+def test_minimum_that_nothing_can_be_taken_for():
+    """The sample grows past its size, and says so."""
+    assert repair({("a",): 0, ("b",): 5}, {("a",): 9, ("b",): 9}, [{"a": 4, "b": 5}], 5) == {("a",): 4, ("b",): 5}
