@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from flowloom.functions import canon
 from flowloom.llm.bpe import encode_documents
-from flowloom.llm.clusters import split_clusters, split_clusters_sql
+from flowloom.llm.clusters import split_clusters, split_clusters_sql, whole_clusters_sql
 from flowloom.llm.mixing import mix
 from flowloom.llm.overlap import overlap_pairs, overlap_pairs_sql, overlap_report, overlap_report_sql
 from flowloom.llm.quality import Profiles, learn, text_kinds, text_statistics, text_statistics_sql
-from flowloom.llm.splits import assign_splits
+from flowloom.llm.splits import assign_splits, wholeness
 from flowloom.llm.stable import stable_sample, stable_sample_sql
 from flowloom.llm.targets import REPORT, Target, draw, placed_rows, plan_sample, prepared
 from flowloom.session import table
@@ -44,6 +44,11 @@ def p2_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p2_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and clusters of p2_assign, and how many clusters it tears."""
+    return wholeness(table(spark, sf_dir, "full_splits"), _shares(spark, sf_dir))
+
+
 FIELDS = ("Attack", "Label")
 
 
@@ -165,12 +170,13 @@ def p8_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_sample, p1_before, p2_found, p2_assign, p2_report, p3_found, p3_supply, p3_report, p3_sample, p5_found, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kinds, p8_stats)
+    for f in (p1_sample, p1_before, p2_found, p2_assign, p2_whole, p2_report, p3_found, p3_supply, p3_report, p3_sample, p5_found, p5_report, p6_ids, p7_mix, p7_report, p8_found, p8_kinds, p8_stats)
 }
 SQL = {
     "p1_sample": stable_sample_sql(["full_splits", "late_flows"], STABLE_SHARE),
     "p1_before": stable_sample_sql(["full_splits"], STABLE_SHARE),
     "p2_found": split_clusters_sql("full_splits"),
+    "p2_whole": whole_clusters_sql("full_splits"),
     "p3_found": _p3_sql("plan_id, split, category", " WHERE short"),
     "p3_supply": _p3_sql("plan_id, split, category_field, category, split_rows, size, available, short"),
     "p5_found": overlap_pairs_sql("full_splits"),
