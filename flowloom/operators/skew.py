@@ -35,30 +35,56 @@ def unpivot_keys(df: DataFrame, keys: dict, *carried) -> DataFrame:
     return df.select(F.explode(F.array(*each)).alias("k"), *kept).select("k.key_field", "k.key_value", *[f"c{i}" for i in range(len(kept))])
 
 
+_STATE = ["key_field", "key_value", "n", "size", "first_id", "last_id", "first_label", "last_label", "flips"]
+
+
+def _states(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Partial states of the runs of equal keys in a sorted batch of (field, value, order, label, size)."""
+    n = batch.num_rows
+    field, value, order, label, size = (batch.column(i) for i in range(5))
+    new = np.ones(n, bool)
+    if n > 1:
+        text = pc.fill_null(value, "")
+        null = pc.is_null(value)
+        same = pc.and_(pc.equal(field[1:], field[:-1]), pc.and_(pc.equal(text[1:], text[:-1]), pc.equal(null[1:], null[:-1])))
+        new[1:] = ~same.to_numpy(zero_copy_only=False)
+    start = np.flatnonzero(new)
+    last = np.append(start[1:], n) - 1
+    mark = pc.fill_null(label, -1).to_numpy(zero_copy_only=False)
+    flips = np.zeros(n, np.int64)
+    flips[1:] = (mark[1:] != mark[:-1]) & ~new[1:]
+    sizes = pc.fill_null(size, 0.0).to_numpy(zero_copy_only=False)
+    ids = order.to_numpy(zero_copy_only=False)
+    return pa.RecordBatch.from_arrays(
+        [field.take(pa.array(start)), value.take(pa.array(start)), pa.array(last - start + 1), pa.array(np.add.reduceat(sizes, start)), pa.array(ids[start]), pa.array(ids[last]), pa.array(mark[start]), pa.array(mark[last]), pa.array(np.add.reduceat(flips, start))],
+        names=_STATE,
+    )
+
+
+def _joined(a: dict, b: dict) -> dict:
+    """The state of two neighbouring runs of one key."""
+    return a | {"n": a["n"] + b["n"], "size": a["size"] + b["size"], "last_id": b["last_id"], "last_label": b["last_label"], "flips": a["flips"] + b["flips"] + (a["last_label"] != b["first_label"])}
+
+
 def _segments(batches):
-    """Partial states of the runs of equal keys in a sorted partition, from Arrow batches of (field, value, order, label, size)."""
+    """One partial state for each key of a sorted partition: the last run of an Arrow batch is carried over to the next."""
+    carried = None
     for b in batches:
-        n = b.num_rows
-        if not n:
+        if not b.num_rows:
             continue
-        field, value, order, label, size = (b.column(i) for i in range(5))
-        new = np.ones(n, bool)
-        if n > 1:
-            text = pc.fill_null(value, "")
-            null = pc.is_null(value)
-            same = pc.and_(pc.equal(field[1:], field[:-1]), pc.and_(pc.equal(text[1:], text[:-1]), pc.equal(null[1:], null[:-1])))
-            new[1:] = ~same.to_numpy(zero_copy_only=False)
-        start = np.flatnonzero(new)
-        last = np.append(start[1:], n) - 1
-        mark = pc.fill_null(label, -1).to_numpy(zero_copy_only=False)
-        flips = np.zeros(n, np.int64)
-        flips[1:] = (mark[1:] != mark[:-1]) & ~new[1:]
-        sizes = pc.fill_null(size, 0.0).to_numpy(zero_copy_only=False)
-        ids = order.to_numpy(zero_copy_only=False)
-        yield pa.RecordBatch.from_arrays(
-            [field.take(pa.array(start)), value.take(pa.array(start)), pa.array(last - start + 1), pa.array(np.add.reduceat(sizes, start)), pa.array(ids[start]), pa.array(ids[last]), pa.array(mark[start]), pa.array(mark[last]), pa.array(np.add.reduceat(flips, start))],
-            names=["key_field", "key_value", "n", "size", "first_id", "last_id", "first_label", "last_label", "flips"],
-        )
+        states = _states(b)
+        schema, first = states.schema, states.slice(0, 1).to_pylist()[0]
+        if carried and (carried["key_field"], carried["key_value"]) == (first["key_field"], first["key_value"]):
+            first, carried = _joined(carried, first), None
+        if carried:
+            yield pa.RecordBatch.from_pylist([carried], schema)
+        if states.num_rows > 1:
+            yield pa.RecordBatch.from_pylist([first], schema)
+            yield states.slice(1, states.num_rows - 2)
+            first = states.slice(states.num_rows - 1).to_pylist()[0]
+        carried = first
+    if carried:
+        yield pa.RecordBatch.from_pylist([carried], schema)
 
 
 def key_profile(df: DataFrame, keys: dict, order, label, size, partitions: int | None = None) -> DataFrame:
@@ -75,7 +101,7 @@ def key_profile(df: DataFrame, keys: dict, order, label, size, partitions: int |
         _segments,
         "key_field string, key_value string, n bigint, size double, first_id bigint, last_id bigint, first_label bigint, last_label bigint, flips bigint",
     )
-    # Stitch: a key has at most one state per Arrow batch of the partitions that it spans; its neighbours meet here in order.
+    # Stitch: a key has one state in each partition that it spans; its neighbours meet here in order.
     w = Window.partitionBy("key_field", "key_value").orderBy("first_id", "last_id")
     seam = (F.lag("last_label").over(w) != F.col("first_label")).cast("bigint")
     return (

@@ -64,3 +64,25 @@ def test_ordinals(spark):
     assert got == want
     assert ordinals(df.limit(0), ["k"], ["id"], "place").count() == 0
     assert sorted(r["place"] for r in ordinals(df, [], ["id"], "place").collect()) == list(range(3000))
+
+
+def test_a_hot_key_has_one_state_a_partition(spark):
+    """Ten million rows of one key in 8 partitions: 8 states meet in the stitch, however many batches they came in."""
+    from flowloom.operators.skew import _segments, ranged
+
+    rows = spark.range(10_000_000).select(F.lit("f").alias("key_field"), F.lit("hot").alias("key_value"), F.col("id").alias("c0"), (F.col("id") % 3).alias("c1"), F.lit(1.0).alias("c2"))
+    kind = "key_field string, key_value string, n bigint, size double, first_id bigint, last_id bigint, first_label bigint, last_label bigint, flips bigint"
+    states = ranged(rows, ["key_field", "key_value"], ["c0"], 8).mapInArrow(_segments, kind).collect()
+    assert len(states) <= 8 and sum(r["n"] for r in states) == 10_000_000 and all(r["flips"] == r["n"] - 1 for r in states)
+
+
+def test_states_over_batches(spark):
+    """Runs that end with a batch, go on in the next or span many, with null keys and labels."""
+    r = random.Random(8)
+    rows = [(i, r.choice([None, "", "x", "y"]), "b", r.choice([0, 1, None]), 1.0) for i in range(300)]
+    df = spark.createDataFrame(rows, "id bigint, a string, b string, label int, size double")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert profile(df, partitions=3) == brute(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
