@@ -32,12 +32,14 @@ def _counts(df: DataFrame, *by: str) -> list[dict]:
 def ingest(spark: SparkSession, csv: str, out: str) -> dict:
     """CSV to typed Parquet by Dataset (out/clean), rejected rows with reasons (out/rejected), and out/report.json.
 
-    Rows are numbered from 1 in input order before anything is dropped, so that a rejected row keeps its number.
+    Rows are numbered from 1 in input order, files by name, before anything is dropped, so that a rejected row keeps its number.
     """
     if sinks.exists(spark, out):
         raise FileExistsError(out)
-    raw = readers.flows_csv(spark, csv).withColumn("_pos", F.monotonically_increasing_id())
-    rows = ordinals(raw, [], ["_pos"], "source_row_id").withColumn("source_row_id", F.col("source_row_id") + 1).drop("_pos")
+    # Spark deals pieces of files to tasks by size; within a piece rows are read in their order, so ids grow there.
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_pos": F.monotonically_increasing_id()}
+    raw = readers.flows_csv(spark, csv).withColumns(place)
+    rows = ordinals(raw, [], list(place), "source_row_id").withColumn("source_row_id", F.col("source_row_id") + 1).drop(*place)
     torn = F.col(readers.CORRUPT).isNotNull()
     tags = V.tagged(rows)
     tags = materialize(tags.withColumn("rejection_reasons", F.when(torn, F.concat_ws("|", F.lit("unreadable"), F.nullif("rejection_reasons", F.lit("")))).otherwise(F.col("rejection_reasons"))), "tagged")

@@ -3,7 +3,7 @@ import pytest
 from flowloom import schema
 from flowloom.plans import pipelines as P
 from flowloom.sources import readers, sinks
-from flowloom.streaming.ingest import validated_stream
+from flowloom.streaming.ingest import validated_stream, write_batch
 
 
 def many(n=400):
@@ -78,3 +78,26 @@ def test_stream(spark, flows, tmp_path):
         q.awaitTermination()
         assert spark.read.parquet(f"{tmp_path}/out/clean").count() == 1
         assert spark.read.parquet(f"{tmp_path}/out/rejected").count() == 1
+
+
+def test_ingest_numbers_follow_the_files(spark, flows, tmp_path):
+    """Three files of unequal size: Spark reads the largest first, yet rows are numbered in the order of the files, and of their lines."""
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    at = 0
+    for name, n in (("a", 5), ("b", 500), ("c", 50)):
+        flows([{"IN_BYTES": at + i} for i in range(n)]).select(*schema.RAW_COLUMNS).coalesce(1).write.option("header", True).csv(f"{tmp_path}/{name}")
+        next((tmp_path / name).glob("part-*.csv")).rename(folder / f"{name}.csv")
+        at += n
+    P.ingest(spark, str(folder), f"{tmp_path}/out")
+    got = spark.read.parquet(f"{tmp_path}/out/clean").select("source_row_id", "IN_BYTES").collect()
+    assert len(got) == 555 and all(r["source_row_id"] == r["IN_BYTES"] + 1 for r in got)
+
+
+def test_a_batch_that_is_run_again_adds_nothing(spark, flows, tmp_path):
+    """A crash between the outputs and the commit of a batch: the second attempt replaces what the first one wrote."""
+    batch = flows([{}, {"L4_DST_PORT": 70000}]).select(*schema.RAW_COLUMNS)
+    for number in (0, 1, 1, 0):
+        write_batch(batch, number, f"{tmp_path}/out")
+    assert spark.read.parquet(f"{tmp_path}/out/clean").count() == 2
+    assert spark.read.parquet(f"{tmp_path}/out/rejected").count() == 2
