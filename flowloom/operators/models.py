@@ -6,22 +6,23 @@ gradients of all partitions. Aggregation over neighbours stays in the JVM.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowloom.functions.hashing import digest
+from flowloom.functions.hashing import digest, hash60
 from flowloom.operators.skew import ordinals
-from flowloom.operators.splitting import top_per_group
-from flowloom.session import materialize
+from flowloom.session import discard, materialize
 
 HIDDEN = 128
 
@@ -64,6 +65,38 @@ def with_array(df: DataFrame, inputs: list[str], name: str, f) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def kept_units(rng: np.random.Generator, shape: tuple[int, int], dropout: float) -> np.ndarray | float:
+    """Which units are kept, scaled so that their expectation stays."""
+    return (rng.random(shape) >= dropout) / (1 - dropout) if dropout else 1.0
+
+
+class Best:
+    """The weights with the best score so far: the first of equal scores."""
+
+    def __init__(self, parts: Callable[[], list[np.ndarray]], evaluate: Callable[[], float] | None):
+        self.parts, self.evaluate, self.score, self.step, self.kept = parts, evaluate, -np.inf, 0, None
+
+    def after(self, step: int, due: bool) -> None:
+        if self.evaluate and due:
+            score = self.evaluate()
+            if score > self.score:
+                self.score, self.step, self.kept = score, step, [a.copy() for a in self.parts()]
+
+    def restore(self) -> None:
+        for a, b in zip(self.parts(), self.kept or [], strict=False):
+            a[...] = b
+
+
+def save_weights(spark: SparkSession, weights: dict[str, np.ndarray], path: str) -> None:
+    """A model's arrays as a small Parquet table; an existing one is not overwritten."""
+    rows = [(k, list(a.shape), [float(v) for v in a.ravel()]) for k, a in sorted(weights.items())]
+    spark.createDataFrame(rows, "name string, shape array<int>, data array<double>").coalesce(1).write.parquet(path)
+
+
+def load_weights(spark: SparkSession, path: str) -> dict[str, np.ndarray]:
+    return {r["name"]: np.asarray(r["data"], float).reshape(r["shape"]) for r in spark.read.parquet(path).collect()}
+
+
 @dataclass
 class Perceptron:
     """One hidden layer with rectifier; weights drawn from a seed until they are trained."""
@@ -84,36 +117,45 @@ class Perceptron:
     def probabilities(self, df: DataFrame, vector: str = "x", name: str = "p") -> DataFrame:
         return with_array(df, [vector], name, lambda x: softmax(self.logits(x.astype(float))))
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Loss, weight and gradient sums of weighted cross-entropy, flat."""
-        h = np.maximum(x @ self.w1 + self.b1, 0)
+    def gradients(self, x: np.ndarray, y: np.ndarray, w: np.ndarray, mask: np.ndarray | float = 1.0) -> np.ndarray:
+        """Loss, weight and gradient sums of weighted cross-entropy, flat; the mask scales hidden units (dropout)."""
+        raw = x @ self.w1 + self.b1
+        h = np.maximum(raw, 0) * mask
         p = softmax(h @ self.w2 + self.b2)
         rows = np.arange(len(y))
         loss = -(w * np.log(np.maximum(p[rows, y], 1e-12))).sum()
         p[rows, y] -= 1
         p *= w[:, None]
-        back = (p @ self.w2.T) * (h > 0)
+        back = (p @ self.w2.T) * (raw > 0) * mask
         return np.concatenate([[loss, w.sum()], (x.T @ back).ravel(), back.sum(0), (h.T @ p).ravel(), p.sum(0)])
 
+    @property
+    def weights(self) -> dict[str, np.ndarray]:
+        return {"w1": self.w1, "b1": self.b1, "w2": self.w2, "b2": self.b2}
+
     def _parts(self) -> list[np.ndarray]:
         return [self.w1, self.b1, self.w2, self.b2]
 
-    def fit(self, df: DataFrame, weights: list[float], steps: int = 50, rate: float = 1e-2, vector: str = "x", label: str = "y") -> list[float]:
-        """Adam over full passes; returns the mean loss before each step. Each partition sends one gradient, summed by Spark."""
+    def fit(self, df: DataFrame, weights: list[float], steps: int = 50, rate: float = 1e-2, vector: str = "x", label: str = "y", dropout: float = 0.0, seed: int = 11, evaluate: Callable[[], float] | None = None, every: int = 10) -> list[float]:
+        """Adam over full passes; returns the mean loss before each step. Each partition sends one gradient, summed by Spark.
+
+        With `evaluate`, a score of the weights as they stand, it is asked after every so many steps and after the last; the best weights are kept.
+        """
         size = sum(a.size for a in self._parts())
-        first, second, losses = np.zeros(size), np.zeros(size), []
+        first, second, losses, best = np.zeros(size), np.zeros(size), [], Best(self._parts, evaluate)
         data = df.select(vector, label)
         if data.isEmpty():
             raise ValueError("no rows to train on")
         for step in range(1, steps + 1):
             model, cw = self, np.asarray(weights)
 
-            def run(batches, model=model, cw=cw):
+            def run(batches, model=model, cw=cw, step=step):
                 total = None
+                rng = np.random.default_rng([seed, step, TaskContext.get().partitionId()])
                 for b in batches:
                     if b.num_rows:
                         y = b.column(1).to_numpy(zero_copy_only=False).astype(int)
-                        g = model.gradients(stacked(b.column(0)).astype(float), y, cw[y])
+                        g = model.gradients(stacked(b.column(0)).astype(float), y, cw[y], kept_units(rng, (len(y), len(model.b1)), dropout))
                         total = g if total is None else total + g
                 if total is not None:
                     yield pa.RecordBatch.from_arrays([lists(total[None], pa.float64())], names=["g"])
@@ -128,6 +170,8 @@ class Perceptron:
             for a in self._parts():
                 a -= move[at : at + a.size].reshape(a.shape)
                 at += a.size
+            best.after(step, step % every == 0 or step == steps)
+        best.restore()
         return losses
 
 
@@ -159,16 +203,19 @@ class Sage:
 
     def node_states(self, messages: DataFrame, vector: str = "x") -> DataFrame:
         """(node, h, degree): states after both layers. messages: src, dst and the features, in both directions, so every node has an incoming edge or is its own source."""
-        f = self.features
-        mean = lambda d, c: d.groupBy(F.col("dst").alias("node")).agg(vector_to_array(Summarizer.mean(array_to_vector(c))).cast("array<float>").alias("z"), F.count(F.lit(1)).cast("int").alias("degree"))
+        f, h = self.features, self.hidden
         every = messages.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        one = every.join(mean(messages, F.col(vector).cast("array<double>")), "node", "left")
+        vectors = array_to_vector(F.col(vector).cast("array<double>"))
+        means = messages.groupBy(F.col("dst").alias("node")).agg(vector_to_array(Summarizer.mean(vectors)).cast("array<float>").alias("z"), F.count(F.lit(1)).cast("int").alias("degree"))
+        one = every.join(means, "node", "left")
         one = one.select("node", F.coalesce("z", F.array_repeat(F.lit(0.0).cast("float"), f)).alias("z"), F.array(F.coalesce("degree", F.lit(0)).cast("float")).alias("degree"))
-        h1 = with_array(one, ["z", "degree"], "h", lambda z, d: self.layer(1, np.ones((len(z), f)), np.concatenate([np.ones((len(z), f)), z], 1), d)).select("node", "h")
-        carried = messages.join(h1.withColumnRenamed("node", "src"), "src").select("dst", F.concat(F.col("h").cast("array<double>"), F.col(vector).cast("array<double>")).alias("z"))
-        two = h1.join(mean(carried, F.col("z")), "node", "left")
-        two = two.select("node", "h", F.coalesce("z", F.array_repeat(F.lit(0.0).cast("float"), self.hidden + f)).alias("z"), F.array(F.coalesce("degree", F.lit(0)).cast("float")).alias("degree"))
-        return with_array(two, ["h", "z", "degree"], "h", lambda h, z, d: self.layer(2, h, z, d)).select("node", "h")
+        # The mean of the edges' features is the same in both layers, so the second only needs the mean of the neighbours' states, over pairs of nodes.
+        h1 = materialize(with_array(one, ["z", "degree"], "h", lambda z, d: self.layer(1, np.ones((len(z), f)), np.concatenate([np.ones((len(z), f)), z], 1), d)), "states")
+        pairs = messages.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("c"))
+        carried = pairs.join(h1.select(F.col("node").alias("src"), "h"), "src").groupBy(F.col("dst").alias("node"))
+        states = carried.agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("h").cast("array<double>")), F.col("c"))).cast("array<float>").alias("m"))
+        two = h1.join(states, "node", "left").select("node", "h", "z", "degree", F.coalesce("m", F.array_repeat(F.lit(0.0).cast("float"), h)).alias("m"))
+        return with_array(two, ["h", "m", "z", "degree"], "h", lambda own, m, z, d: self.layer(2, own, np.concatenate([m, z], 1), d)).select("node", "h")
 
     def edge_probabilities(self, edges: DataFrame, messages: DataFrame, vector: str = "x") -> DataFrame:
         """(source_row_id, p). The head is linear, so nodes send it their share of the logits, `classes` numbers instead of a state."""
@@ -183,6 +230,11 @@ class Sage:
         return with_array(j, ["from_src", "from_dst", vector], "p", lambda s, d, x: softmax(s + d + x @ own + w["b"])).select("source_row_id", "p")
 
 
+def _place_of(begin: Column, k: int) -> Callable[[Column], Column]:
+    """The place of the j-th of k evenly spaced edges of a node, from a beginning on and around."""
+    return lambda j: (begin + j * F.floor(F.col("_degree") / k)) % F.col("_degree")
+
+
 def sampled_batches(messages: DataFrame, edges: DataFrame, batch_size: int, fanout: tuple[int, int], seed: int, most: int | None = None) -> DataFrame:
     """(batch, kind, a, b, x, y): seed edges (kind 0) in hashed order and the sampled incoming edges of each hop (kinds 1, 2) of every batch.
 
@@ -197,9 +249,16 @@ def sampled_batches(messages: DataFrame, edges: DataFrame, batch_size: int, fano
     seeds = placed.select(at.alias("batch"), "src", "dst", "x", "y").where(F.col("batch") < (batches if most is None else most))
     out = [seeds.select("batch", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "x", "y")]
     frontier = seeds.select("batch", F.explode(F.array("src", "dst")).alias("dst")).distinct()
+    # Every node's incoming edges are put in a hashed order once, so that a batch takes places of it and a hub's edges are not repeated for each batch.
+    edge = digest(F.concat_ws("|", key, F.col("reverse").cast("string")), seed)
+    into = ordinals(messages.select("source_row_id", "src", "dst", "reverse", "x", edge.alias("_h")), ["dst"], ["_h", "source_row_id", "reverse"], "_no").select("src", "dst", "x", "_no")
+    degree = into.groupBy("dst").agg(F.count(F.lit(1)).alias("_degree"))
     for hop, k in enumerate(fanout, 1):
-        h = digest(F.concat_ws("|", F.col("batch").cast("string"), key, F.col("reverse").cast("string")), f"{seed}|{hop}")
-        got = top_per_group(messages.join(frontier, "dst"), ["batch", "dst"], [h, F.col("source_row_id"), F.col("reverse")], k)
+        begin = hash60(F.concat_ws("|", F.col("batch").cast("string"), F.col("dst").cast("string")), f"{seed}|{hop}")
+        few = F.sequence(F.lit(0).cast("bigint"), F.col("_degree") - 1)
+        some = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), _place_of(begin, k))
+        places = frontier.join(degree, "dst").select("batch", "dst", F.explode(F.when(F.col("_degree") <= k, few).otherwise(some)).alias("_no"))
+        got = into.join(places, ["dst", "_no"])
         got = materialize(got.select("batch", "src", "dst", "x"), "hop")
         out.append(got.select("batch", F.lit(hop).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "x", F.lit(None).cast("int").alias("y")))
         frontier = got.select("batch", F.col("src").alias("dst")).distinct().join(frontier, ["batch", "dst"], "left_anti") if hop < len(fanout) else frontier
@@ -209,7 +268,7 @@ def sampled_batches(messages: DataFrame, edges: DataFrame, batch_size: int, fano
     return reduce(DataFrame.unionByName, out)
 
 
-def sage_gradients(model: Sage, pdf: pd.DataFrame, class_weights: np.ndarray) -> tuple[np.ndarray, list[str]]:
+def sage_gradients(model: Sage, pdf: pd.DataFrame, class_weights: np.ndarray, dropout: float = 0.0, seed: list[int] | int = 0) -> tuple[np.ndarray, list[str]]:
     """Loss, weight and gradient sums of one sampled batch, flat in the order of the sorted weight names.
 
     Layer 1 is computed for every node from the hop-2 edges into it, layer 2 for the end points of the seed edges from the hop-1 edges.
@@ -231,11 +290,13 @@ def sage_gradients(model: Sage, pdf: pd.DataFrame, class_weights: np.ndarray) ->
     z1, c1 = mean(into2, np.concatenate([np.ones((len(two), f)), mat(two)], 1))
     u1 = (z1 @ w["m1"] + w["bm1"]) * (c1 > 0)
     in1 = np.concatenate([ones, u1], 1)
-    h1 = np.maximum(in1 @ w["a1"] + w["ba1"], 0)
+    rng = np.random.default_rng(seed)
+    k1, k2 = kept_units(rng, (n, h), dropout), kept_units(rng, (n, h), dropout)
+    h1 = np.maximum(in1 @ w["a1"] + w["ba1"], 0) * k1
     z2, c2 = mean(into1, np.concatenate([h1[from1], x1], 1))
     u2 = (z2 @ w["m2"] + w["bm2"]) * (c2 > 0)
     in2 = np.concatenate([h1, u2], 1)
-    h2 = np.maximum(in2 @ w["a2"] + w["ba2"], 0)
+    h2 = np.maximum(in2 @ w["a2"] + w["ba2"], 0) * k2
     own = w["e"] if model.use_edge else np.zeros_like(w["e"])
     p = softmax(h2[s] @ w["s"] + h2[t] @ w["d"] + x0 @ own + w["b"])
     rows, cw = np.arange(len(y)), class_weights[y]
@@ -246,14 +307,14 @@ def sage_gradients(model: Sage, pdf: pd.DataFrame, class_weights: np.ndarray) ->
     d2 = np.zeros((n, h))
     np.add.at(d2, s, p @ w["s"].T)
     np.add.at(d2, t, p @ w["d"].T)
-    d2 *= h2 > 0
+    d2 *= (h2 > 0) * k2
     g |= {"a2": in2.T @ d2, "ba2": d2.sum(0)}
     back = d2 @ w["a2"].T
     d1, du2 = back[:, :h].copy(), back[:, h:] * (c2 > 0)
     g |= {"m2": z2.T @ du2, "bm2": du2.sum(0)}
     dz2 = (du2 @ w["m2"].T)[:, :h] / np.maximum(c2, 1)
     np.add.at(d1, from1, dz2[into1])
-    d1 *= h1 > 0
+    d1 *= (h1 > 0) * k1
     g |= {"a1": in1.T @ d1, "ba1": d1.sum(0)}
     du1 = (d1 @ w["a1"].T)[:, f:] * (c1 > 0)
     g |= {"m1": z1.T @ du1, "bm1": du1.sum(0)}
@@ -261,25 +322,33 @@ def sage_gradients(model: Sage, pdf: pd.DataFrame, class_weights: np.ndarray) ->
     return np.concatenate([[loss, cw.sum()], *[np.ravel(g[k]) for k in order]]), order
 
 
-def _batch_gradient(model: Sage, class_weights: np.ndarray):
+def _batch_gradient(model: Sage, class_weights: np.ndarray, dropout: float, seed: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [list(sage_gradients(model, pdf, class_weights)[0])]})
+        return pd.DataFrame({"g": [list(sage_gradients(model, pdf, class_weights, dropout, [seed, int(pdf.batch.iloc[0])])[0])]})
 
     return run
 
 
-def fit_sage(model: Sage, edges: DataFrame, messages: DataFrame, class_weights: list[float], passes: int = 2, batch_size: int = 4096, fanout: tuple[int, int] = (15, 10), together: int = 8, rate: float = 1e-3, seed: int = 11) -> list[float]:
+def fit_sage(model: Sage, edges: DataFrame, messages: DataFrame, class_weights: list[float], passes: int = 2, batch_size: int = 4096, fanout: tuple[int, int] = (15, 10), together: int = 8, rate: float = 1e-3, seed: int = 11, dropout: float = 0.0, max_steps: int | None = None, evaluate: Callable[[], float] | None = None, every: int = 50) -> list[float]:
     """Mini-batch training on sampled neighbourhoods: `together` batches at a time are differentiated in parallel and their gradients summed for one Adam step.
 
-    Returns the mean loss of each step. Batches are reshuffled and resampled in each pass; only gradients reach the driver.
+    Returns the mean loss of each step. Batches are reshuffled and resampled in each pass; only gradients reach the driver. After the first
+    whole pass training stops at max_steps. With `evaluate`, a score of the weights as they stand, it is asked after every so many steps and after
+    the last; the best weights are kept.
     """
     size = sum(a.size for a in model.weights.values())
     first, second, losses, step, cw = np.zeros(size), np.zeros(size), [], 0, np.asarray(class_weights)
     batches = max(1, -(-edges.count() // batch_size))
+    best = Best(lambda: [model.weights[k] for k in sorted(model.weights)], evaluate)
     for turn in range(passes):
-        drawn = materialize(sampled_batches(messages, edges, batch_size, fanout, seed + turn), "batches")
+        if turn and max_steps is not None and step >= max_steps:
+            break
+        # Sorted by batch, so that a step reads only the row groups of its batches.
+        drawn = materialize(sampled_batches(messages, edges, batch_size, fanout, seed + turn).repartitionByRange("batch").sortWithinPartitions("batch"), "batches")
         for at in range(0, batches, together):
-            some = drawn.where(F.col("batch").between(at, at + together - 1)).groupBy("batch").applyInPandas(_batch_gradient(model, cw), "g array<double>")
+            if turn and max_steps is not None and step >= max_steps:
+                break
+            some = drawn.where(F.col("batch").between(at, at + together - 1)).groupBy("batch").applyInPandas(_batch_gradient(model, cw, dropout, seed + turn), "g array<double>")
             g = some.agg(Summarizer.sum(array_to_vector("g")).alias("g")).first()["g"].toArray()
             losses.append(g[0] / g[1])
             step, d, place = step + 1, g[2:] / g[1], 0
@@ -289,13 +358,17 @@ def fit_sage(model: Sage, edges: DataFrame, messages: DataFrame, class_weights:
                 a = model.weights[k]
                 model.weights[k] = a - move[place : place + a.size].reshape(a.shape)
                 place += a.size
+            best.after(step, step % every == 0)
+        discard(drawn)
+    best.after(step, step % every != 0)
+    best.restore()
     return losses
 
 
-def fit_forest(rows: DataFrame, vector: str, label: str, weight: str | None, trees: int = 25, depth: int = 16, seed: int = 11):
-    """A random forest of spark.ml with the published size: square root of the features at a split, optional balanced weights."""
+def fit_forest(rows: DataFrame, vector: str, label: str, weight: str | None, trees: int = 25, depth: int = 16, seed: int = 11, least: int = 1):
+    """A random forest of spark.ml: square root of the features at a split, at least `least` rows a leaf, optional balanced weights."""
     data = rows.select(array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), *([F.col(weight)] if weight else []))
-    kind = RandomForestClassifier(numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed, **({"weightCol": weight} if weight else {}))
+    kind = RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=least, featureSubsetStrategy="sqrt", seed=seed, **({"weightCol": weight} if weight else {}))
     return kind.fit(data)
 
 

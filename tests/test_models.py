@@ -146,3 +146,70 @@ def test_sage_learns(spark):
     model = L.Sage(3, 2, 1, True, hidden=8)
     losses = L.fit_sage(model, e, G.message_edges(e.drop("y")), [1.0, 1.0], passes=8, batch_size=50, fanout=(5, 3), together=2, rate=0.03)
     assert len(losses) == 16 and np.mean(losses[-3:]) < 0.7 * losses[0]
+
+
+def test_dropout_keeps_the_derivative():
+    """With a fixed mask the gradient is still the derivative."""
+    r = np.random.default_rng(5)
+    m = L.Perceptron.start(3, 2, 1, hidden=5)
+    x, y, w, mask = r.normal(size=(9, 3)), r.integers(0, 2, 9), r.random(9), L.kept_units(r, (9, 5), 0.4)
+    g, eps, old, ends = m.gradients(x, y, w, mask), 1e-6, m.w1.flat[1], []
+    for v in (old + eps, old - eps):
+        m.w1.flat[1] = v
+        ends.append(m.gradients(x, y, w, mask)[0])
+    assert abs((ends[0] - ends[1]) / (2 * eps) - g[3]) < 1e-4
+
+
+def test_sage_dropout_derivative(spark):
+    e = labelled(spark, 40)
+    pdf = L.sampled_batches(G.message_edges(e.drop("y")), e, 40, (4, 3), 1).toPandas()
+    model, cw, eps = L.Sage(3, 2, 1, True, hidden=4), np.ones(2), 1e-6
+    g, order = L.sage_gradients(model, pdf, cw, 0.3, 4)
+    place = 2
+    for k in order:
+        a = model.weights[k]
+        ends, old = [], a.flat[0]
+        for v in (old + eps, old - eps):
+            a.flat[0] = v
+            ends.append(L.sage_gradients(model, pdf, cw, 0.3, 4)[0][0])
+        a.flat[0] = old
+        assert abs((ends[0] - ends[1]) / (2 * eps) - g[place]) < 1e-4, k
+        place += a.size
+
+
+def test_best_weights_budget_and_storage(spark, tmp_path):
+    e = labelled(spark, 120)
+    model, scores = L.Sage(3, 2, 1, True, hidden=4), iter([0.1, 0.9, 0.3, 0.2, 0.1])
+    seen = []
+
+    def score():
+        seen.append({k: v.copy() for k, v in model.weights.items()})
+        return next(scores)
+
+    losses = L.fit_sage(model, e, G.message_edges(e.drop("y")), [1.0, 1.0], passes=9, batch_size=40, fanout=(3, 2), together=1, dropout=0.2, max_steps=4, evaluate=score, every=1)
+    assert len(losses) == 4 == len(seen)  # a whole pass of three, then up to the budget
+    assert all(np.array_equal(model.weights[k], seen[1][k]) for k in model.weights)
+    L.save_weights(spark, model.weights, f"{tmp_path}/w")
+    back = L.load_weights(spark, f"{tmp_path}/w")
+    assert back.keys() == model.weights.keys() and all(np.array_equal(back[k], model.weights[k]) for k in back)
+    with pytest.raises(Exception, match="exist"):
+        L.save_weights(spark, model.weights, f"{tmp_path}/w")
+
+
+def test_replay_finds_a_planted_error(spark):
+    from flowloom.operators import metrics as M
+
+    rows = [(i, float(i) / 50, 1 - float(i) / 50) for i in range(50)]
+    stored = spark.createDataFrame(rows, "id bigint, p0 double, p1 double")
+    wrong = stored.withColumn("p1", F.when(F.col("id") == 17, F.col("p1") + 0.25).otherwise(F.col("p1"))).where("id <> 3")
+    assert tuple(M.replay_error(stored, stored, "id", ["p0", "p1"]).first()) == (50, 0, 0.0)
+    assert tuple(M.replay_error(stored, wrong, "id", ["p0", "p1"]).first()) == (49, 1, 0.25)
+
+
+def test_hub_is_sampled_in_every_batch(spark):
+    """A node with all edges gives each batch at most its fanout, without repeats, and other batches other edges."""
+    rows = [(i, f"s{i}", "hub", [float(i)], 0) for i in range(400)]
+    e = spark.createDataFrame(rows, "source_row_id bigint, src string, dst string, x array<float>, y int")
+    b = L.sampled_batches(G.message_edges(e.drop("y")), e, 40, (7, 2), 3).toPandas()
+    hop = b[(b.kind == 1) & (b.b == "hub")]
+    assert set(hop.groupby("batch").size()) == {7} and set(hop.groupby("batch").a.nunique()) == {7} and hop.a.nunique() > 14
