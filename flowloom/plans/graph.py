@@ -14,6 +14,7 @@ from flowloom.operators.audit import beside, n_rows
 from flowloom.operators.skew import ordinals
 from flowloom.operators.validation import any_of, nonfinite
 from flowloom.plans.registry import Registry, Tables
+from flowloom.session import materialize
 
 Q = Registry()
 
@@ -292,10 +293,10 @@ WITH flow , {_NEW} SELECT count(*) AS rows_before, count(*) AS rows_after, CAST(
   count(*) FILTER (WHERE f.IPV4_DST_ADDR IS DISTINCT FROM r.IPV4_DST_ADDR OR f.L4_DST_PORT IS DISTINCT FROM r.L4_DST_PORT) AS changed,
   count(*) FILTER (WHERE {_LOOP.format('f')}) AS loops_before, count(*) FILTER (WHERE {_LOOP.format('r')}) AS loops_after FROM flow f JOIN r USING (source_row_id)""")
 def rewire_gates(t: Tables) -> DataFrame:
-    """The gates that a rewired table must pass."""
-    cols = ["source_row_id", "Dataset", "split", *schema.ENDPOINTS, "Label", "Attack", "flow_group_id"]
-    before = t.flow.select(*cols)
-    return G.rewire_gates(before, G.rewired(before), ["Dataset", "IPV4_SRC_ADDR", "L4_SRC_PORT", "Label", "Attack", "flow_group_id"])
+    """The gates that a rewired table must pass; all columns but the destination and the split are protected."""
+    protected = [schema.SRC_IP, schema.SRC_PORT, *schema.FEATURES, "Label", "Attack", "Dataset", "flow_group_id"]
+    before = t.flow.select("source_row_id", "split", schema.DST_IP, schema.DST_PORT, *protected)
+    return G.rewire_gates(before, materialize(G.rewired(before), "rewired"), protected)
 
 
 @Q("p18_self_loops", "SELECT source_row_id FROM full_splits WHERE IPV4_SRC_ADDR = IPV4_DST_ADDR AND L4_SRC_PORT = L4_DST_PORT")

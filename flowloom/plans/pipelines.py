@@ -15,7 +15,7 @@ from flowloom.operators import audit, graph, splitting
 from flowloom.operators import validation as V
 from flowloom.operators.skew import ordinals
 from flowloom.schema import DST_IP, DST_PORT, FEATURES, RAW_COLUMNS, SPLITS, SRC_IP, SRC_PORT, require_columns
-from flowloom.session import materialize
+from flowloom.session import materialize, scope
 from flowloom.sources import readers, sinks
 
 
@@ -29,11 +29,8 @@ def _counts(df: DataFrame, *by: str) -> list[dict]:
     return [r.asDict() for r in df.groupBy(*by).agg(audit.n_rows().alias("n")).orderBy(*by).collect()]
 
 
-def ingest(spark: SparkSession, csv: str, out: str) -> dict:
-    """CSV to typed Parquet by Dataset (out/clean), rejected rows with reasons (out/rejected), and out/report.json.
-
-    Rows are numbered from 1 in input order, files by name, before anything is dropped, so that a rejected row keeps its number.
-    """
+def _ingest(spark: SparkSession, csv: str, out: str) -> dict:
+    """`ingest`, whose intermediate tables are left to the caller's scope."""
     if sinks.exists(spark, out):
         raise FileExistsError(out)
     # Spark deals pieces of files to tasks by size; within a piece rows are read in their order, so ids grow there.
@@ -52,6 +49,15 @@ def ingest(spark: SparkSession, csv: str, out: str) -> dict:
     return report
 
 
+def ingest(spark: SparkSession, csv: str, out: str) -> dict:
+    """CSV to typed Parquet by Dataset (out/clean), rejected rows with reasons (out/rejected), and out/report.json.
+
+    Rows are numbered from 1 in input order, files by name, before anything is dropped, so that a rejected row keeps its number.
+    """
+    with scope(spark):
+        return _ingest(spark, csv, out)
+
+
 def check_split(flow: DataFrame, source_rows: int) -> None:
     """Raises unless there are three splits, no row is lost, every class of train is in each split, and no group is in two."""
     got = flow.agg(F.countDistinct("split").alias("s"), audit.n_rows().alias("n")).first()
@@ -98,8 +104,8 @@ def endpoint_holdout(spark: SparkSession, source: str, out: str, seed: int = spl
     return report
 
 
-def rewire(spark: SparkSession, source: str, out: str, seed: int = 20260928) -> dict:
-    """Destinations permuted within Dataset and split (out/full), published only if every gate holds."""
+def _rewire(spark: SparkSession, source: str, out: str, seed: int = 20260928) -> dict:
+    """`rewire`, whose intermediate tables are left to the caller's scope."""
     if sinks.exists(spark, out):
         raise FileExistsError(out)
     before = spark.read.parquet(source)
@@ -118,6 +124,12 @@ def rewire(spark: SparkSession, source: str, out: str, seed: int = 20260928) ->
     return gates
 
 
+def rewire(spark: SparkSession, source: str, out: str, seed: int = 20260928) -> dict:
+    """Destinations permuted within Dataset and split (out/full), published only if every gate holds."""
+    with scope(spark):
+        return _rewire(spark, source, out, seed)
+
+
 @dataclass(frozen=True)
 class Stage:
     """A step of a run: what it does, and how to tell that it is complete."""

@@ -394,7 +394,7 @@ def entries_equal(t: Tables) -> DataFrame:
 
 
 _METRICS = ("accuracy", "macro_f1", "weighted_f1")
-_SUM_OFF = 1e-6  # as in the reference's check of probability sums
+_SUM_OFF = 1e-6  # how far probabilities may sum from one
 
 
 def _metrics_sql(name: str, y: str, p: str) -> str:

@@ -7,6 +7,9 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,23 +52,44 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """df written once to the shared folder and read back: a lineage cut that outlives executors.
 
     A written table is computed once, while checkpoint() computes its last stage twice; it also
-    gives the planner its true size. Drop it with `discard` when the next step is written.
+    gives the planner its true size. Drop it with `discard` when the next step is written, or let a `scope` drop it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowloom-{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._flowloom_path = path
+    for paths in _SCOPES.get()[-1:]:
+        paths.append(path)
     return out
 
 
+_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialized inside are deleted at its end, also after an error. Write or collect the result before that."""
+    token = _SCOPES.set((*_SCOPES.get(), []))
+    try:
+        yield
+    finally:
+        paths = _SCOPES.get()[-1]
+        _SCOPES.reset(token)
+        for path in paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a materialized frame that nothing reads any more."""
     path = getattr(df, "_flowloom_path", None)
     if path:
-        spark = df.sparkSession
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        _delete(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -101,3 +101,23 @@ def test_a_batch_that_is_run_again_adds_nothing(spark, flows, tmp_path):
         write_batch(batch, number, f"{tmp_path}/out")
     assert spark.read.parquet(f"{tmp_path}/out/clean").count() == 2
     assert spark.read.parquet(f"{tmp_path}/out/rejected").count() == 2
+
+
+def test_scope_drops_what_was_materialized(spark, tmp_path):
+    """Nested scopes drop their own tables, also when an error ends them; outside of scopes tables stay."""
+    from pathlib import Path
+
+    from flowloom.session import discard, materialize, scope
+
+    df = spark.range(5)
+    kept = materialize(df)
+    with scope(spark):
+        outer = materialize(df)
+        with pytest.raises(ValueError), scope(spark):
+            inner = materialize(df)
+            assert inner.count() == 5
+            raise ValueError
+        assert not Path(inner._flowloom_path).exists() and outer.count() == 5
+    assert not Path(outer._flowloom_path).exists() and kept.count() == 5
+    discard(kept)
+    assert not Path(kept._flowloom_path).exists()
