@@ -393,7 +393,7 @@ def entries_equal(t: Tables) -> DataFrame:
     return a.join(b, k).groupBy("dataset").agg(F.count_if(same).alias("equal"), n_rows().alias("pairs"))
 
 
-_METRICS = ("accuracy", "macro_f1", "weighted_f1")
+_REPLAYED = ("accuracy", "macro_f1", "weighted_f1")
 _SUM_OFF = 1e-6  # how far probabilities may sum from one
 
 
@@ -414,7 +414,7 @@ n AS (SELECT (SELECT count(*) FROM predictions) AS stored, (SELECT count(*) FROM
   count(*) FILTER (WHERE found AND split IS DISTINCT FROM 'test') AS not_test, count(*) FILTER (WHERE found AND {canon.group_key_sql('flow_group_id')} IS DISTINCT FROM g) AS wrong_groups, count(*) FILTER (WHERE found AND y_true IS DISTINCT FROM Label) AS wrong_truth,
   count(*) FILTER (WHERE known IS NOT TRUE) AS unknown_probabilities, count(*) FILTER (WHERE known AND abs(p_benign + p_attack - 1) > {_SUM_OFF}) AS off_sums, count(*) FILTER (WHERE known AND y_pred IS DISTINCT FROM y) AS wrong_predictions FROM j),
 {_metrics_sql('stored', 'y_true', 'y_pred')}, {_metrics_sql('replayed', 'Label', 'y')}
-SELECT n.*, s.*, r.*, {' AND '.join(f'{c} = 0' for c in _GATES)} AND {' AND '.join(f'coalesce(stored_{m} = replayed_{m}, false)' for m in _METRICS)} AS ok FROM n, stored s, replayed r""")
+SELECT n.*, s.*, r.*, {' AND '.join(f'{c} = 0' for c in _GATES)} AND {' AND '.join(f'coalesce(stored_{m} = replayed_{m}, false)' for m in _REPLAYED)} AS ok FROM n, stored s, replayed r""")
 def replay_predictions(t: Tables) -> DataFrame:
     """Stored predictions against what their probabilities and the flows give: row ids, groups, labels, classes and metrics recomputed. Any difference, gap or repeat makes ok false.
 
@@ -437,11 +437,11 @@ def replay_predictions(t: Tables) -> DataFrame:
         "wrong_predictions": F.count_if(known & differs("y_pred", F.col("y"))),
     }
     n = j.agg(n_rows().alias("_rows"), *[c.alias(k) for k, c in counts.items()])
-    metrics = [M.summary(M.per_class(j.where(f"{y} IS NOT NULL AND {p} IS NOT NULL"), [0, 1], y, p)).select(*[F.col(m).alias(f"{name}_{m}") for m in _METRICS]) for name, y, p in (("stored", "y_true", "y_pred"), ("replayed", "Label", "y"))]
+    metrics = [M.summary(M.per_class(j.where(f"{y} IS NOT NULL AND {p} IS NOT NULL"), [0, 1], y, p)).select(*[F.col(m).alias(f"{name}_{m}") for m in _REPLAYED]) for name, y, p in (("stored", "y_true", "y_pred"), ("replayed", "Label", "y"))]
     one = beside(t.predictions.agg(n_rows().alias("stored")), n, *metrics).withColumn("repeated", F.col("stored") - F.col("_rows"))
-    same = [F.coalesce(F.col(f"stored_{m}") == F.col(f"replayed_{m}"), F.lit(False)) for m in _METRICS]
+    same = [F.coalesce(F.col(f"stored_{m}") == F.col(f"replayed_{m}"), F.lit(False)) for m in _REPLAYED]
     ok = S.both([*[F.col(c) == 0 for c in _GATES], *same])
-    return one.select("stored", *_GATES, *[f"{name}_{m}" for name in ("stored", "replayed") for m in _METRICS], ok.alias("ok"))
+    return one.select("stored", *_GATES, *[f"{name}_{m}" for name in ("stored", "replayed") for m in _REPLAYED], ok.alias("ok"))
 
 
 @Q("f8_step_budget", "WITH flow , n AS (SELECT Dataset, count(*) AS n FROM flow WHERE split = 'train' GROUP BY 1) SELECT Dataset, CAST(ceil(n / 256.0) AS BIGINT) AS per_pass, greatest(20, 2 * CAST(ceil(n / 256.0) AS BIGINT)) AS steps FROM n")
