@@ -9,7 +9,6 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
-from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,24 +58,22 @@ def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._flowloom_path = path
-    for paths in _SCOPES.get()[-1:]:
+    for paths in _SCOPES[-1:]:
         paths.append(path)
     return out
 
 
-_SCOPES: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+_SCOPES: list[list[str]] = []  # the tables of every open scope of the driver, the innermost last
 
 
 @contextmanager
 def scope(spark: SparkSession) -> Iterator[None]:
     """Tables that are materialized inside are deleted at its end, also after an error. Write or collect the result before that."""
-    token = _SCOPES.set((*_SCOPES.get(), []))
+    _SCOPES.append([])
     try:
         yield
     finally:
-        paths = _SCOPES.get()[-1]
-        _SCOPES.reset(token)
-        for path in paths:
+        for path in _SCOPES.pop():
             _delete(spark, path)
 
 
