@@ -6,13 +6,16 @@ gradients of all partitions. Aggregation over neighbours stays in the JVM.
 
 from __future__ import annotations
 
+import io
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -21,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowloom.functions.hashing import digest, hash60
-from flowloom.operators.skew import ordinals
+from flowloom.operators.skew import ordinals, ranged
 from flowloom.session import discard, materialize
 
 HIDDEN = 128
@@ -65,9 +68,9 @@ def with_array(df: DataFrame, inputs: list[str], name: str, f) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def kept_units(rng: np.random.Generator, shape: tuple[int, int], dropout: float) -> np.ndarray | float:
+def kept_units(rng: np.random.Generator, shape: tuple[int, int], dropout: float, kind=np.float64) -> np.ndarray | float:
     """Which units are kept, scaled so that their expectation stays."""
-    return (rng.random(shape) >= dropout) / (1 - dropout) if dropout else 1.0
+    return (rng.random(shape, kind) >= dropout).astype(kind) * kind(1 / (1 - dropout)) if dropout else 1.0
 
 
 class Best:
@@ -201,166 +204,414 @@ class Sage:
         message = (mean @ w[f"m{n}"] + w[f"bm{n}"]) * (degree > 0)
         return np.maximum(np.concatenate([own, message], 1) @ w[f"a{n}"] + w[f"ba{n}"], 0)
 
-    def node_states(self, messages: DataFrame, vector: str = "x") -> DataFrame:
-        """(node, h, degree): states after both layers. messages: src, dst and the features, in both directions, so every node has an incoming edge or is its own source."""
-        f, h = self.features, self.hidden
-        every = messages.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-        vectors = array_to_vector(F.col(vector).cast("array<double>"))
-        means = messages.groupBy(F.col("dst").alias("node")).agg(vector_to_array(Summarizer.mean(vectors)).cast("array<float>").alias("z"), F.count(F.lit(1)).cast("int").alias("degree"))
-        one = every.join(means, "node", "left")
-        one = one.select("node", F.coalesce("z", F.array_repeat(F.lit(0.0).cast("float"), f)).alias("z"), F.array(F.coalesce("degree", F.lit(0)).cast("float")).alias("degree"))
-        # The mean of the edges' features is the same in both layers, so the second only needs the mean of the neighbours' states, over pairs of nodes.
-        h1 = materialize(with_array(one, ["z", "degree"], "h", lambda z, d: self.layer(1, np.ones((len(z), f)), np.concatenate([np.ones((len(z), f)), z], 1), d)), "states")
-        pairs = messages.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("double").alias("c"))
-        carried = pairs.join(h1.select(F.col("node").alias("src"), "h"), "src").groupBy(F.col("dst").alias("node"))
-        states = carried.agg(vector_to_array(Summarizer.mean(array_to_vector(F.col("h").cast("array<double>")), F.col("c"))).cast("array<float>").alias("m"))
-        two = h1.join(states, "node", "left").select("node", "h", "z", "degree", F.coalesce("m", F.array_repeat(F.lit(0.0).cast("float"), h)).alias("m"))
-        return with_array(two, ["h", "m", "z", "degree"], "h", lambda own, m, z, d: self.layer(2, own, np.concatenate([m, z], 1), d)).select("node", "h")
+    def context(self, messages: DataFrame, vector: str = "x") -> DataFrame:
+        """What the states of a graph's nodes need, whatever the weights: (node, parts, c, degree, z), written once and ordered by node.
 
-    def edge_probabilities(self, edges: DataFrame, messages: DataFrame, vector: str = "x") -> DataFrame:
-        """(source_row_id, p). The head is linear, so nodes send it their share of the logits, `classes` numbers instead of a state."""
-        states = self.node_states(messages, vector)
-        w = self.weights
-        shares = with_array(states, ["h"], "sd", lambda h: np.concatenate([h @ w["s"], h @ w["d"]], 1)).select("node", "sd")
-        c = self.classes
+        A node has a row of its own (c = 0, parts the number of all its rows) and one for each source of its messages (parts = 0, c messages). z is the mean
+        of the features of the messages into that row's node or source, of which there are `degree`. messages: src, dst and the features, in both
+        directions, so every node has an incoming edge or is its own source. A hub's rows are spread over partitions, as they are ordered by source too.
+        """
+        f = self.features
+        every = messages.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+        sums = [F.sum(F.col(vector)[i].cast("double")).alias(f"_{i}") for i in range(f)]
+        means = messages.groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).cast("int").alias("degree"), *sums)
+        means = means.select("node", "degree", F.array(*[(F.col(f"_{i}") / F.col("degree")).cast("float") for i in range(f)]).alias("z"))
+        zero = F.array_repeat(F.lit(0.0).cast("float"), f)
+        nodes = materialize(every.join(means, "node", "left").select("node", F.coalesce("degree", F.lit(0)).alias("degree"), F.coalesce("z", zero).alias("z")), "nodes")
+        pairs = materialize(messages.groupBy("src", "dst").agg(F.count(F.lit(1)).cast("int").alias("c")), "pairs")
+        sources = pairs.groupBy(F.col("dst").alias("node")).agg((F.count(F.lit(1)) + 1).cast("int").alias("parts"))
+        own = nodes.join(sources, "node", "left").select("node", F.lit(None).cast("string").alias("_src"), F.coalesce("parts", F.lit(1)).alias("parts"), F.lit(0).alias("c"), "degree", "z")
+        into = pairs.join(nodes.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), F.col("src").alias("_src"), F.lit(0).alias("parts"), "c", "degree", "z")
+        out = materialize(ranged(own.unionByName(into), ["node"], ["_src"]).drop("_src"), "context")
+        for df in (nodes, pairs):
+            discard(df)
+        return out
+
+    def _second(self, first: np.ndarray, mean: np.ndarray, z: np.ndarray, degree: np.ndarray) -> np.ndarray:
+        """Shares of the logits that a node has for the edges that leave and that reach it."""
+        h = self.layer(2, first, np.concatenate([mean, z], 1), degree)
+        return np.concatenate([h @ self.weights["s"], h @ self.weights["d"]], 1)
+
+    def _first(self, z: np.ndarray, degree: np.ndarray) -> np.ndarray:
+        ones = np.ones((len(z), self.features))
+        return self.layer(1, ones, np.concatenate([ones, z], 1), degree)
+
+    def shares(self, context: DataFrame) -> DataFrame:
+        """(node, sd): each node's shares of the logits as source and as destination, `classes` numbers each, after both layers.
+
+        Rows of a node that an Arrow batch has all of are finished there; of others, the sum of the sources' states is added up afterwards.
+        """
+        kind = "node string, sd array<float>, sum array<double>, c bigint, degree int, z array<float>"
+
+        def run(batches):
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                node, parts, c, degree, z = (b.column(i) for i in range(5))
+                parts, c, degree, z = parts.to_numpy(), c.to_numpy().astype(np.int64), degree.to_numpy(), stacked(z).astype(float)
+                start = np.flatnonzero(np.concatenate([[True], ~pc.equal(node[1:], node[:-1]).to_numpy(zero_copy_only=False)]))
+                h = self._first(z, degree[:, None])
+                total, count, rows = np.add.reduceat(h * c[:, None], start), np.add.reduceat(c, start), np.diff(np.append(start, b.num_rows))
+                at = np.searchsorted(start, np.arange(b.num_rows), "right") - 1
+                own = np.full(len(start), -1)
+                mine = np.flatnonzero(parts > 0)
+                own[at[mine]] = mine
+                whole = (own >= 0) & (parts[own] == rows)
+                w, o = np.flatnonzero(whole), own[whole]
+                names = node.take(pa.array(start))
+                sd = self._second(h[o], total[w] / np.maximum(count[w], 1)[:, None], z[o], degree[o][:, None])
+                none = lambda n, t: pa.nulls(n, t)
+                floats, doubles = pa.list_(pa.float32()), pa.list_(pa.float64())
+                names_of = ["node", "sd", "sum", "c", "degree", "z"]
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(w)), lists(sd), none(len(w), doubles), none(len(w), pa.int64()), none(len(w), pa.int32()), none(len(w), floats)], names=names_of)
+                q = np.flatnonzero(~whole)
+                if len(q):
+                    has = own[q] >= 0
+                    zs = pa.array([z[i].astype(np.float32) if i >= 0 else None for i in own[q]], floats)
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(q)), none(len(q), floats), lists(total[q], pa.float64()), pa.array(count[q]), pa.array(degree[own[q]], pa.int32(), mask=~has), zs], names=names_of)
+
+        done = materialize(context.mapInArrow(run, kind), "shares")
+        torn = done.where("sd IS NULL").groupBy("node").agg(vector_to_array(Summarizer.sum(array_to_vector("sum"))).cast("array<float>").alias("sum"), F.sum("c").alias("c"), F.max("degree").alias("degree"), F.max("z").alias("z"))
+        torn = torn.select("node", F.array(F.greatest("c", F.lit(1)).cast("float")).alias("c"), F.array(F.col("degree").cast("float")).alias("degree"), "sum", "z")
+        torn = with_array(torn, ["c", "degree", "sum", "z"], "sd", lambda c, d, m, z: self._second(self._first(z, d), m / c, z, d))
+        return done.where("sd IS NOT NULL").select("node", "sd").unionByName(torn.select("node", "sd"))
+
+    def scored(self, edges: DataFrame, context: DataFrame, *kept: str, vector: str = "x") -> DataFrame:
+        """(source_row_id, *kept, p) of edges whose graph has that context. The head is linear, so nodes send it their share of the logits instead of a state."""
+        w, c, shares = self.weights, self.classes, self.shares(context)
         a = shares.select(F.col("node").alias("src"), F.slice("sd", 1, c).alias("from_src"))
         b = shares.select(F.col("node").alias("dst"), F.slice("sd", c + 1, c).alias("from_dst"))
-        j = edges.select("source_row_id", "src", "dst", vector).join(a, "src").join(b, "dst").select("source_row_id", vector, "from_src", "from_dst")
-        own = w["e"] if self.use_edge else np.zeros_like(w["e"])
-        return with_array(j, ["from_src", "from_dst", vector], "p", lambda s, d, x: softmax(s + d + x @ own + w["b"])).select("source_row_id", "p")
+        inputs = ["from_src", "from_dst", *([vector] if self.use_edge else [])]
+        j = edges.select("source_row_id", "src", "dst", *kept, *inputs[2:]).join(a, "src").join(b, "dst").select("source_row_id", *kept, *inputs)
+        return with_array(j, inputs, "p", lambda s, d, *x: softmax(s + d + w["b"] + (x[0] @ w["e"] if x else 0.0))).select("source_row_id", *kept, "p")
+
+    def edge_probabilities(self, edges: DataFrame, messages: DataFrame, vector: str = "x") -> DataFrame:
+        """(source_row_id, p)."""
+        return self.scored(edges, self.context(messages, vector), vector=vector)
+
+
+def _samples(messages: DataFrame, fanout: tuple[int, int], seed: int) -> tuple[DataFrame, DataFrame]:
+    """The samples that batches choose from: (dst, degree), and (dst, k, g, source_row_id, src), the edges of the g-th sample of at most k edges into a node.
+
+    The edges into a node are put in a hashed order and cut into groups of k; the last group is filled up with those before it, so each sample has k edges
+    and each edge the same chance. Of a node with at most k edges the one sample has all, and stands for all fanouts (k = 0) if it is within the least.
+    """
+    least = min(fanout)
+    into = messages.select("source_row_id", "src", "dst", "reverse")
+    degree = materialize(into.groupBy("dst").agg(F.count(F.lit(1)).alias("degree")), "degree")
+    few = degree.where(F.col("degree") <= least).select("dst")
+    many = degree.where(F.col("degree") > least)
+    whole = into.join(few, "dst").select("dst", F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("g"), "source_row_id", "src")
+    edge = digest(F.concat_ws("|", F.col("source_row_id").cast("string"), F.col("reverse").cast("string")), seed)
+    placed = ordinals(into.join(many.select("dst"), "dst", "left_semi").withColumn("_h", edge), ["dst"], ["_h", "source_row_id", "reverse"], "_no").join(many, "dst")
 
+    def groups(k: int) -> Column:
+        no, n = F.col("_no"), F.col("degree")
+        full, last = F.floor(n / k), F.floor((n - 1) / k)
+        return F.array_compact(F.array(F.when(F.floor(no / k) < full, F.floor(no / k)), F.when((full <= last) & (no >= n - F.least(n, F.lit(k))), last)))
 
-def _place_of(begin: Column, k: int) -> Callable[[Column], Column]:
-    """The place of the j-th of k evenly spaced edges of a node, from a beginning on and around."""
-    return lambda j: (begin + j * F.floor(F.col("_degree") / k)) % F.col("_degree")
+    parts = [placed.select("dst", F.lit(k).alias("k"), F.explode(groups(k)).alias("g"), "source_row_id", "src") for k in sorted({*fanout})]
+    return degree, reduce(DataFrame.unionByName, [whole, *parts])
+
+
+def _sought(frontier: DataFrame, degree: DataFrame, k: int, least: int, hop: int, seed: int) -> DataFrame:
+    """(batch, dst, k, g): the sample that each node of a batch gets, by hash of both."""
+    draw = hash60(F.concat_ws("|", F.col("batch").cast("string"), F.col("dst").cast("string")), f"{seed}|{hop}")
+    return frontier.join(degree, "dst").select("batch", "dst", F.when(F.col("degree") <= least, 0).otherwise(k).alias("k"), F.when(F.col("degree") <= k, F.lit(0).cast("bigint")).otherwise(draw % F.floor((F.col("degree") - 1) / k + 1)).alias("g"))
+
+
+def _seeds(edges: DataFrame, batch_size: int, seed: int, most: int | None, *kept: str) -> DataFrame:
+    """(batch, src, dst, *kept): the edges in hashed order, so many a batch."""
+    key = F.col("source_row_id").cast("string")
+    placed = ordinals(edges.select("source_row_id", "src", "dst", *kept).withColumn("_h", digest(key, seed)), [], ["_h", "source_row_id"], "_at")
+    seeds = placed.select(F.floor(F.col("_at") / batch_size).cast("int").alias("batch"), "src", "dst", *kept)
+    return materialize(seeds if most is None else seeds.where(F.col("batch") < most), "seeds")
 
 
 def sampled_batches(messages: DataFrame, edges: DataFrame, batch_size: int, fanout: tuple[int, int], seed: int, most: int | None = None) -> DataFrame:
-    """(batch, kind, a, b, x, y): seed edges (kind 0) in hashed order and the sampled incoming edges of each hop (kinds 1, 2) of every batch.
+    """(batch, kind, a, b, x, y): seed edges (kind 0) in hashed order and the sampled incoming edges of each hop (kinds 1, 2) of every batch, row by row.
 
     A batch of n seed edges has at most 2n x (1 + fanout[0] + fanout[0] x fanout[1]) rows, so a group fits in a task. edges: source_row_id,
-    src, dst, x, y; messages: source_row_id, src, dst, reverse, x.
+    src, dst, x, y; messages: source_row_id, src, dst, reverse, x. Training takes the same samples from `packed_batches`.
     """
-    count = edges.count()
-    batches = max(1, -(-count // batch_size))
-    key = F.col("source_row_id").cast("string")
-    placed = ordinals(edges.withColumn("_h", digest(key, seed)), [], ["_h", "source_row_id"], "_at")
-    at = F.floor(F.col("_at") / batch_size).cast("int")
-    seeds = placed.select(at.alias("batch"), "src", "dst", "x", "y").where(F.col("batch") < (batches if most is None else most))
+    seeds = _seeds(edges, batch_size, seed, most, "x", "y")
     out = [seeds.select("batch", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "x", "y")]
-    frontier = seeds.select("batch", F.explode(F.array("src", "dst")).alias("dst")).distinct()
-    # Every node's incoming edges are put in a hashed order once, so that a batch takes places of it and a hub's edges are not repeated for each batch.
-    edge = digest(F.concat_ws("|", key, F.col("reverse").cast("string")), seed)
-    into = ordinals(messages.select("source_row_id", "src", "dst", "reverse", "x", edge.alias("_h")), ["dst"], ["_h", "source_row_id", "reverse"], "_no").select("src", "dst", "x", "_no")
-    degree = into.groupBy("dst").agg(F.count(F.lit(1)).alias("_degree"))
+    ends = seeds.select("batch", F.explode(F.array("src", "dst")).alias("dst")).distinct()
+    degree, members = _samples(messages, fanout, seed)
+    members = materialize(members.join(edges.select("source_row_id", "x"), "source_row_id"), "members")
+    frontier = ends
     for hop, k in enumerate(fanout, 1):
-        begin = hash60(F.concat_ws("|", F.col("batch").cast("string"), F.col("dst").cast("string")), f"{seed}|{hop}")
-        few = F.sequence(F.lit(0).cast("bigint"), F.col("_degree") - 1)
-        some = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), _place_of(begin, k))
-        places = frontier.join(degree, "dst").select("batch", "dst", F.explode(F.when(F.col("_degree") <= k, few).otherwise(some)).alias("_no"))
-        got = into.join(places, ["dst", "_no"])
+        got = members.join(_sought(frontier, degree, k, min(fanout), hop, seed), ["dst", "k", "g"])
         got = materialize(got.select("batch", "src", "dst", "x"), "hop")
         out.append(got.select("batch", F.lit(hop).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), "x", F.lit(None).cast("int").alias("y")))
-        frontier = got.select("batch", F.col("src").alias("dst")).distinct().join(frontier, ["batch", "dst"], "left_anti") if hop < len(fanout) else frontier
-        if hop < len(fanout):
-            # Nodes of the first frontier need their own first-layer state too.
-            frontier = frontier.unionByName(seeds.select("batch", F.explode(F.array("src", "dst")).alias("dst")).distinct())
+        # Nodes of the first frontier need their own first-layer state too.
+        frontier = got.select("batch", F.col("src").alias("dst")).unionByName(ends).distinct()
     return reduce(DataFrame.unionByName, out)
 
 
-def sage_gradients(model: Sage, pdf: pd.DataFrame, class_weights: np.ndarray, dropout: float = 0.0, seed: list[int] | int = 0) -> tuple[np.ndarray, list[str]]:
-    """Loss, weight and gradient sums of one sampled batch, flat in the order of the sorted weight names.
+def _sample_means(batches):
+    """(dst, k, g, z, srcs) of rows sorted by (dst, k, g): the mean of x and the sources. The rows of a sample that the next batch may go on with are kept back."""
+    rest = None
+    names = ["dst", "k", "g", "z", "srcs"]
+
+    def reduced(b: pa.RecordBatch, start: np.ndarray):
+        first = b.take(pa.array(start))
+        ends = np.append(start, b.num_rows)
+        z = np.add.reduceat(stacked(b.column(4)).astype(float), start) / np.diff(ends)[:, None]
+        return pa.RecordBatch.from_arrays([first.column(0), first.column(1), first.column(2), lists(z), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), b.column(3))], names=names)
+
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if rest is not None:
+            b = pa.Table.from_batches([rest, b]).combine_chunks().to_batches()[0]
+        same = np.logical_and.reduce([pc.equal(b.column(i)[1:], b.column(i)[:-1]).to_numpy(zero_copy_only=False) for i in range(3)]).astype(bool)
+        start = np.flatnonzero(np.concatenate([[True], ~same]))
+        rest = b.slice(start[-1])
+        if len(start) > 1:
+            yield reduced(b.slice(0, start[-1]), start[:-1])
+    if rest is not None:
+        yield reduced(rest, np.zeros(1, int))
+
+
+def packed(seeds: tuple, one: tuple, two: tuple) -> dict[str, np.ndarray]:
+    """The arrays that a batch's gradient needs; nodes are numbered by appearance, the end points of the seed edges first.
 
-    Layer 1 is computed for every node from the hop-2 edges into it, layer 2 for the end points of the seed edges from the hop-1 edges.
+    seeds: a, b, y, x or None. one: the nodes whose samples of the first hop these are, means of features, offsets, sources. two: nodes and means of the second.
     """
-    w, f, h = model.weights, model.features, model.hidden
-    seeds, one, two = (pdf[pdf.kind == k] for k in (0, 1, 2))
-    names = pd.Index(pd.unique(pd.concat([seeds.a, seeds.b, one.a, one.b, two.a, two.b])))
-    n = len(names)
-    mat = lambda d: np.stack([np.asarray(v, float) for v in d.x]) if len(d) else np.zeros((0, f))
-    s, t, y, x0 = names.get_indexer(seeds.a), names.get_indexer(seeds.b), seeds.y.to_numpy(int), mat(seeds)
-
-    def mean(index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        total, count = np.zeros((n, values.shape[1])), np.bincount(index, minlength=n).astype(float)
-        np.add.at(total, index, values)
-        return total / np.maximum(count, 1)[:, None], count[:, None]
-
-    into2, from1, into1 = names.get_indexer(two.b), names.get_indexer(one.a), names.get_indexer(one.b)
-    ones, x1 = np.ones((n, f)), mat(one)
-    z1, c1 = mean(into2, np.concatenate([np.ones((len(two), f)), mat(two)], 1))
-    u1 = (z1 @ w["m1"] + w["bm1"]) * (c1 > 0)
-    in1 = np.concatenate([ones, u1], 1)
+    a, b, y, x0 = seeds
+    into, z2, offsets, srcs = one
+    node, z = two
+    names = pa.concat_arrays([a, b, srcs, node, into]).dictionary_encode()
+    code = names.indices.to_numpy().astype(np.int32)
+    s, t, from1, at2, at1 = np.split(code, np.cumsum([len(a), len(b), len(srcs), len(node)]))
+    n, ends = len(names.dictionary), int(max(s.max(), t.max())) + 1
+    z1 = np.zeros((n, z.shape[1]), z.dtype)
+    z1[at2] = z
+    got = np.zeros(n, bool)
+    got[at2] = True
+    # Only the end points of seed edges and the sources of the first hop have a state that is used.
+    used = max(ends, int(from1.max()) + 1 if len(from1) else 0)
+    order = np.argsort(from1, kind="stable").astype(np.int32)
+    return {"s": s, "t": t, "y": y.astype(np.int8), "z1": z1[:used], "got": got[:used], "at1": at1, "z2": z2, "offsets": offsets.astype(np.int32), "from1": from1, "order": order, "ends": np.int32(ends), **({} if x0 is None else {"x0": x0})}
+
+
+def _packer(batches: pa.Table) -> pa.Table:
+    """One row (batch, data) of a batch's rows (batch, kind, a, b, z, srcs, y)."""
+    t = batches.combine_chunks()
+    kind = t["kind"].to_numpy()
+    seeds, one, two = (t.filter(pa.array(kind == k)) for k in (0, 1, 2))
+    text = lambda d, c: d[c].combine_chunks().cast(pa.string()) if d.num_rows else pa.array([], pa.string())
+    width = max((len(d["z"][0]) for d in (one, two) if d.num_rows), default=0)
+    mean = lambda d: stacked(d["z"]).astype(np.float32) if d.num_rows else np.zeros((0, width), np.float32)
+    srcs = one["srcs"].combine_chunks() if one.num_rows else pa.array([], pa.list_(pa.string()))
+    sizes = pc.list_value_length(srcs).to_numpy(zero_copy_only=False).astype(int)
+    x0 = stacked(seeds["z"]).astype(np.float32) if seeds["z"].null_count == 0 else None
+    arrays = packed((text(seeds, "a"), text(seeds, "b"), seeds["y"].to_numpy(), x0), (text(one, "b"), mean(one), np.cumsum(sizes) - sizes, srcs.flatten().cast(pa.string())), (text(two, "b"), mean(two)))
+    data = io.BytesIO()
+    np.savez(data, **arrays)
+    return pa.table({"batch": t["batch"].slice(0, 1), "data": pa.array([data.getvalue()], pa.binary())})
+
+
+def packed_batches(messages: DataFrame, edges: DataFrame, batch_size: int, fanout: tuple[int, int], seed: int, use_edge: bool = False, most: int | None = None) -> DataFrame:
+    """(batch, data): the samples of `sampled_batches`, each batch's arrays in one value.
+
+    Messages are linear in the features, so a sample's mean stands for its edges: it is computed once, not for every batch that takes it.
+    """
+    seeds = _seeds(edges, batch_size, seed, most, "y", *(["x"] if use_edge else []))
+    ends = seeds.select("batch", F.explode(F.array("src", "dst")).alias("dst")).distinct()
+    degree, members = _samples(messages, fanout, seed)
+    rows = members.join(edges.select("source_row_id", "x"), "source_row_id").select("dst", "k", "g", "src", "x")
+    samples = materialize(rows.repartition("dst", "k", "g").sortWithinPartitions("dst", "k", "g").mapInArrow(_sample_means, "dst string, k int, g bigint, z array<float>, srcs array<string>"), "samples")
+    least, on = min(fanout), ["dst", "k", "g"]
+    one = materialize(samples.join(_sought(ends, degree, fanout[0], least, 1, seed), on).select("batch", "dst", "z", "srcs"), "hop")
+    frontier = one.select("batch", F.explode("srcs").alias("dst")).unionByName(ends).distinct()
+    two = samples.drop("srcs").join(_sought(frontier, degree, fanout[1], least, 2, seed), on)
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = [
+        seeds.select("batch", F.lit(0).alias("kind"), F.col("src").alias("a"), F.col("dst").alias("b"), (F.col("x") if use_edge else none("array<float>")).alias("z"), none("array<string>").alias("srcs"), F.col("y").cast("int").alias("y")),
+        one.select("batch", F.lit(1).alias("kind"), none("string").alias("a"), F.col("dst").alias("b"), "z", "srcs", none("int").alias("y")),
+        two.select("batch", F.lit(2).alias("kind"), none("string").alias("a"), F.col("dst").alias("b"), "z", none("array<string>").alias("srcs"), none("int").alias("y")),
+    ]
+    return reduce(DataFrame.unionByName, rows).groupBy("batch").applyInArrow(_packer, "batch int, data binary")
+
+
+def run_sums(values: np.ndarray, index: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Sums of values[index] over the runs that begin at start, place by place: most runs are short, which reduceat is slow at. Long runs are summed each by itself."""
+    count = np.diff(np.append(start, len(index)))
+    out = values[index[start]]
+    for j in range(1, min(int(count.max()), 16)):
+        more = np.flatnonzero(count > j)
+        out[more] += values[index[start[more] + j]]
+    for i in np.flatnonzero(count > 16):
+        out[i] += values[index[start[i] + 16 : start[i] + count[i]]].sum(0)
+    return out
+
+
+def batch_gradient(model: Sage, d: dict[str, np.ndarray], class_weights: np.ndarray, dropout: float = 0.0, seed: list[int] | int = 0, kind=np.float64) -> tuple[np.ndarray, list[str]]:
+    """Loss, weight and gradient sums of one packed batch, flat in the order of the sorted weight names.
+
+    Layer 1 is computed for the nodes whose state is used, layer 2 for the end points of the seed edges. No rectifier stands between a message and the
+    matrix it meets, so both matrices are multiplied first.
+    """
+    f, h = model.features, model.hidden
+    w = {k: a.astype(kind) for k, a in model.weights.items()}
+    s, t, y, z1, got, at1, order, from1, offsets, ends = (d[k] for k in ("s", "t", "y", "z1", "got", "at1", "order", "from1", "offsets", "ends"))
+    ends, y, z1, got = int(ends), y.astype(int), z1.astype(kind), got.astype(kind)[:, None]
+    n = len(z1)
     rng = np.random.default_rng(seed)
-    k1, k2 = kept_units(rng, (n, h), dropout), kept_units(rng, (n, h), dropout)
-    h1 = np.maximum(in1 @ w["a1"] + w["ba1"], 0) * k1
-    z2, c2 = mean(into1, np.concatenate([h1[from1], x1], 1))
-    u2 = (z2 @ w["m2"] + w["bm2"]) * (c2 > 0)
-    in2 = np.concatenate([h1, u2], 1)
+    k1, k2 = (kept_units(rng, (m, h), dropout, kind) for m in (n, ends))
+    m1x, r1, a1u = w["m1"][f:], w["m1"][:f].sum(0) + w["bm1"], w["a1"][f:]
+    raw = z1 @ (m1x @ a1u)
+    raw += got * (r1 @ a1u)
+    raw += w["a1"][:f].sum(0) + w["ba1"]
+    h1 = np.maximum(raw, 0) * k1
+    counts = np.diff(np.append(offsets, len(from1)))
+    mean, c2 = np.zeros((ends, h + f), kind), np.zeros((ends, 1), kind)
+    if len(at1):
+        mean[at1, :h] = run_sums(h1, from1, offsets) / counts[:, None].astype(kind)
+        mean[at1, h:] = d["z2"]
+        c2[at1, 0] = counts
+    has = (c2 > 0).astype(kind)
+    u2 = (mean @ w["m2"] + w["bm2"]) * has
+    in2 = np.concatenate([h1[:ends], u2], 1)
     h2 = np.maximum(in2 @ w["a2"] + w["ba2"], 0) * k2
-    own = w["e"] if model.use_edge else np.zeros_like(w["e"])
-    p = softmax(h2[s] @ w["s"] + h2[t] @ w["d"] + x0 @ own + w["b"])
+    z = h2[s] @ w["s"] + h2[t] @ w["d"] + w["b"]
+    if model.use_edge:
+        z = z + d["x0"].astype(kind) @ w["e"]
+    p = softmax(z)
     rows, cw = np.arange(len(y)), class_weights[y]
     loss = -(cw * np.log(np.maximum(p[rows, y], 1e-12))).sum()
     p[rows, y] -= 1
-    p *= cw[:, None]
-    g = {"s": h2[s].T @ p, "d": h2[t].T @ p, "e": x0.T @ p if model.use_edge else np.zeros_like(w["e"]), "b": p.sum(0)}
-    d2 = np.zeros((n, h))
-    np.add.at(d2, s, p @ w["s"].T)
-    np.add.at(d2, t, p @ w["d"].T)
-    d2 *= (h2 > 0) * k2
+    p *= cw[:, None].astype(kind)
+    ps, pd_ = (np.stack([np.bincount(i, p[:, c], ends) for c in range(p.shape[1])], 1).astype(kind) for i in (s, t))
+    g = {"s": h2.T @ ps, "d": h2.T @ pd_, "e": d["x0"].astype(kind).T @ p if model.use_edge else np.zeros_like(w["e"]), "b": p.sum(0)}
+    d2 = (ps @ w["s"].T + pd_ @ w["d"].T) * (h2 > 0) * k2
     g |= {"a2": in2.T @ d2, "ba2": d2.sum(0)}
     back = d2 @ w["a2"].T
-    d1, du2 = back[:, :h].copy(), back[:, h:] * (c2 > 0)
-    g |= {"m2": z2.T @ du2, "bm2": du2.sum(0)}
-    dz2 = (du2 @ w["m2"].T)[:, :h] / np.maximum(c2, 1)
-    np.add.at(d1, from1, dz2[into1])
-    d1 *= (h1 > 0) * k1
-    g |= {"a1": in1.T @ d1, "ba1": d1.sum(0)}
-    du1 = (d1 @ w["a1"].T)[:, f:] * (c1 > 0)
-    g |= {"m1": z1.T @ du1, "bm1": du1.sum(0)}
-    order = sorted(w)
-    return np.concatenate([[loss, cw.sum()], *[np.ravel(g[k]) for k in order]]), order
-
-
-def _batch_gradient(model: Sage, class_weights: np.ndarray, dropout: float, seed: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"g": [list(sage_gradients(model, pdf, class_weights, dropout, [seed, int(pdf.batch.iloc[0])])[0])]})
+    du2 = back[:, h:] * has
+    g |= {"m2": mean.T @ du2, "bm2": du2.sum(0)}
+    d1 = np.zeros((n, h), kind)
+    d1[:ends] = back[:, :h]
+    if len(from1):
+        to = np.zeros((ends, h), kind)
+        to[at1] = (du2[at1] @ w["m2"][:h].T) / counts[:, None].astype(kind)
+        sorted_from, at = from1[order], np.repeat(at1, counts)[order]
+        first = np.flatnonzero(np.concatenate([[True], sorted_from[1:] != sorted_from[:-1]]))
+        d1[sorted_from[first]] += run_sums(to, at, first)
+    d1 *= h1 > 0
+    d1 *= k1
+    gz, gs, all1 = z1.T @ d1, got[:, 0] @ d1, d1.sum(0)  # z1 is 0 where nothing was got
+    g |= {"a1": np.concatenate([np.tile(all1, (f, 1)), m1x.T @ gz + np.outer(r1, gs)]), "ba1": all1}
+    bm1 = gs @ a1u.T
+    g |= {"m1": np.concatenate([np.tile(bm1, (f, 1)), gz @ a1u.T]), "bm1": bm1}
+    names = sorted(w)
+    return np.concatenate([[loss, cw.sum()], *[np.ravel(g[k]).astype(float) for k in names]]), names
+
+
+def sage_gradients(model: Sage, pdf: pd.DataFrame, class_weights: np.ndarray, dropout: float = 0.0, seed: list[int] | int = 0) -> tuple[np.ndarray, list[str]]:
+    """`batch_gradient` of one batch that is given row by row."""
+    seeds, one, two = (pdf[pdf.kind == k].sort_values("b", kind="stable") for k in (0, 1, 2))
+    text = lambda v: pa.array(list(v), pa.string())
+    mat = lambda d: np.stack([np.asarray(v, float) for v in d.x]) if len(d) else np.zeros((0, model.features))
+
+    def means(d: pd.DataFrame) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        nodes, start, count = np.unique(d.b.to_numpy(str), return_index=True, return_counts=True)
+        d = d.iloc[np.argsort(d.b.to_numpy(str), kind="stable")]
+        return text(nodes), (np.add.reduceat(mat(d), start) if len(d) else mat(d)) / count[:, None], start
+
+    (into, z2, offsets), (node, z, _) = means(one), means(two)
+    srcs = text(one.a.iloc[np.argsort(one.b.to_numpy(str), kind="stable")])
+    return batch_gradient(model, packed((text(seeds.a), text(seeds.b), seeds.y.to_numpy(int), mat(seeds)), (into, z2, offsets, srcs), (node, z)), class_weights, dropout, seed)
+
+
+# Seed edges of the batches that a task trains on one after the other before the weights return to the driver.
+CHUNK = 1 << 18
+
+
+class Adam:
+    """The moments of a descent over flat gradients."""
+
+    def __init__(self, size: int, rate: float):
+        self.rate, self.first, self.second, self.step = rate, np.zeros(size), np.zeros(size), 0
+
+    def descend(self, weights: dict[str, np.ndarray], d: np.ndarray) -> None:
+        self.step += 1
+        self.first, self.second = 0.9 * self.first + 0.1 * d, 0.999 * self.second + 0.001 * d * d
+        move, place = self.rate * (self.first / (1 - 0.9**self.step)) / (np.sqrt(self.second / (1 - 0.999**self.step)) + 1e-8), 0
+        for k in sorted(weights):
+            a = weights[k]
+            weights[k] = a - move[place : place + a.size].reshape(a.shape)
+            place += a.size
+
+
+def _trainer(model: Sage, adam: Adam, class_weights: np.ndarray, dropout: float, seed: int, together: int):
+    """Trains on a task's batches in their order; one row of losses, weights and moments."""
+
+    def gradient(n: int, data: pa.Scalar) -> np.ndarray:
+        return batch_gradient(model, dict(np.load(io.BytesIO(data.as_buffer()))), class_weights, dropout, [seed, n], np.float32)[0]
+
+    def run(batches):
+        losses, waiting = [], []
+
+        def descend():
+            g = sum(pool.map(lambda x: gradient(*x), waiting))
+            losses.append(g[0] / g[1])
+            adam.descend(model.weights, g[2:] / g[1])
+            waiting.clear()
+
+        with ThreadPoolExecutor(min(together, 4)) as pool:
+            for b in batches:
+                for n, data in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                    if waiting and n // together != waiting[0][0] // together:
+                        descend()
+                    waiting.append((n, data))
+            if waiting:
+                descend()
+        if losses:
+            flat = np.concatenate([np.ravel(model.weights[k]) for k in sorted(model.weights)])
+            yield pa.RecordBatch.from_arrays([pa.array([list(v)], pa.list_(pa.float64())) for v in (losses, flat, adam.first, adam.second)], names=["losses", "weights", "first", "second"])
 
     return run
 
 
 def fit_sage(model: Sage, edges: DataFrame, messages: DataFrame, class_weights: list[float], passes: int = 2, batch_size: int = 4096, fanout: tuple[int, int] = (15, 10), together: int = 8, rate: float = 1e-3, seed: int = 11, dropout: float = 0.0, max_steps: int | None = None, evaluate: Callable[[], float] | None = None, every: int = 50) -> list[float]:
-    """Mini-batch training on sampled neighbourhoods: `together` batches at a time are differentiated in parallel and their gradients summed for one Adam step.
+    """Mini-batch training on sampled neighbourhoods: the gradients of `together` batches are summed for one Adam step.
 
-    Returns the mean loss of each step. Batches are reshuffled and resampled in each pass; only gradients reach the driver. After the first
+    Returns the mean loss of each step. Batches are reshuffled and resampled in each pass, in parallel. Steps need each other's weights, so a task takes
+    those up to the next evaluation, or of CHUNK seed edges, one after the other; only weights and moments reach the driver. After the first
     whole pass training stops at max_steps. With `evaluate`, a score of the weights as they stand, it is asked after every so many steps and after
     the last; the best weights are kept.
     """
-    size = sum(a.size for a in model.weights.values())
-    first, second, losses, step, cw = np.zeros(size), np.zeros(size), [], 0, np.asarray(class_weights)
+    adam, losses, cw = Adam(sum(a.size for a in model.weights.values()), rate), [], np.asarray(class_weights)
     batches = max(1, -(-edges.count() // batch_size))
     best = Best(lambda: [model.weights[k] for k in sorted(model.weights)], evaluate)
+    at_once = max(1, CHUNK // (batch_size * together))
+    due = every if evaluate else at_once
     for turn in range(passes):
-        if turn and max_steps is not None and step >= max_steps:
+        steps = -(-batches // together)
+        if turn and max_steps is not None:
+            steps = min(steps, max_steps - adam.step)
+        if steps <= 0:
             break
-        # Sorted by batch, so that a step reads only the row groups of its batches.
-        drawn = materialize(sampled_batches(messages, edges, batch_size, fanout, seed + turn).repartitionByRange("batch").sortWithinPartitions("batch"), "batches")
-        for at in range(0, batches, together):
-            if turn and max_steps is not None and step >= max_steps:
-                break
-            some = drawn.where(F.col("batch").between(at, at + together - 1)).groupBy("batch").applyInPandas(_batch_gradient(model, cw, dropout, seed + turn), "g array<double>")
-            g = some.agg(Summarizer.sum(array_to_vector("g")).alias("g")).first()["g"].toArray()
-            losses.append(g[0] / g[1])
-            step, d, place = step + 1, g[2:] / g[1], 0
-            first, second = 0.9 * first + 0.1 * d, 0.999 * second + 0.001 * d * d
-            move = rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+        begun, per = adam.step, -(-due // at_once)
+        chunk = lambda step: (step // due) * per + (step % due) // at_once
+        step = F.floor(F.col("batch") / together) + begun
+        name = F.floor(step / due) * per + F.floor((step % due) / at_once)
+        drawn = packed_batches(messages, edges, batch_size, fanout, seed + turn, model.use_edge, steps * together)
+        drawn = materialize(drawn.withColumn("chunk", name.cast("int")), "batches", by="chunk")
+        for c in sorted({chunk(begun + i) for i in range(steps)}):
+            some = drawn.where(F.col("chunk") == c).select("batch", "data").coalesce(1).sortWithinPartitions("batch")
+            got = some.mapInArrow(_trainer(model, adam, cw, dropout, seed + turn, together), "losses array<double>, weights array<double>, first array<double>, second array<double>").collect()[0]
+            losses += got["losses"]
+            adam.step, adam.first, adam.second, place = adam.step + len(got["losses"]), np.asarray(got["first"]), np.asarray(got["second"]), 0
             for k in sorted(model.weights):
-                a = model.weights[k]
-                model.weights[k] = a - move[place : place + a.size].reshape(a.shape)
-                place += a.size
-            best.after(step, step % every == 0)
+                shape, size = model.weights[k].shape, model.weights[k].size
+                model.weights[k] = np.asarray(got["weights"][place : place + size]).reshape(shape)
+                place += size
+            best.after(adam.step, adam.step % every == 0)
         discard(drawn)
-    best.after(step, step % every != 0)
+    best.after(adam.step, adam.step % every != 0)
     best.restore()
     return losses
 

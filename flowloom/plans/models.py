@@ -84,22 +84,34 @@ def replay_model(t: Tables) -> DataFrame:
     return e.select("matched", "unmatched", (F.coalesce("max_error", F.lit(0.0)) < 1e-6).alias("equal"))
 
 
-def _edges(t: Tables, split: str, rewire: bool = False, *kept: str) -> DataFrame:
-    _, rows = prepared(t, *schema.ENDPOINTS, "Dataset")
+def _edges(rows: DataFrame, split: str, rewire: bool = False, *kept: str) -> DataFrame:
     rows = rows.where(F.col("split") == split)
     return materialize(G.label_edges(G.rewired(rows) if rewire else rows, "x", *kept), "edges")
 
 
-def _model(t: Tables, use_edge: bool = False, rewire: bool = False) -> L.Sage:
-    """Two layers trained by one pass over the graph of train, as it is or rewired, the weights of least error on val kept; once a session and folder."""
+def _graphs(t: Tables) -> DataFrame:
+    return prepared(t, *schema.ENDPOINTS, "Dataset")[1]
+
+
+def _context(edges: DataFrame) -> DataFrame:
+    """A graph's part of the scores; the model lends its sizes only."""
+    return L.Sage(len(schema.FEATURES), 2, 11).context(G.message_edges(edges.select("source_row_id", "src", "dst", "x")))
+
+
+def _model(t: Tables, rows: DataFrame, use_edge: bool = False, rewire: bool = False, val: tuple[DataFrame, DataFrame] | None = None) -> L.Sage:
+    """Two layers trained by one pass over the graph of train, as it is or rewired, the weights of least error on val kept; once a session and folder.
+
+    val: its edges and their context, if they are there already.
+    """
     key = (t.spark.sparkContext.applicationId, t.sf_dir, use_edge, rewire)
     if key not in _MODELS:
-        edges, val = _edges(t, "train", rewire, "y"), _edges(t, "val", rewire, "y")
+        edges = _edges(rows, "train", rewire, "y")
+        if val is None:
+            val = (e := _edges(rows, "val", rewire, "y"), _context(e))
         model = L.Sage(len(schema.FEATURES), 2, 11, use_edge)
-        messages = G.message_edges(val.drop("y"))
 
         def score() -> float:
-            return _scores(model.edge_probabilities(val, messages).join(val.select("source_row_id", "y"), "source_row_id")).first()["macro_f1"] or 0.0
+            return _scores(model.scored(*val, "y")).first()["macro_f1"] or 0.0
 
         L.fit_sage(model, edges, G.message_edges(edges.drop("y")), _weights(edges), passes=1, batch_size=1024, together=4, dropout=DROPOUT, evaluate=score, every=64)
         _MODELS[key] = model
@@ -107,8 +119,9 @@ def _model(t: Tables, use_edge: bool = False, rewire: bool = False) -> L.Sage:
 
 
 def _sage(t: Tables, use_edge: bool, split: str = "test") -> DataFrame:
-    edges = _edges(t, split)
-    return _model(t, use_edge).edge_probabilities(edges, G.message_edges(edges))
+    rows = _graphs(t)
+    edges = _edges(rows, split)
+    return _model(t, rows, use_edge).scored(edges, _context(edges))
 
 
 @Q("g5_sage_forward")
@@ -126,7 +139,8 @@ def sage_edge(t: Tables) -> DataFrame:
 @Q("g6_chunked_inference")
 def chunked(t: Tables) -> DataFrame:
     """Inference over val in one partition and in many: partitions take the place of chunks, so the results must agree."""
-    edges, model = _edges(t, "val"), _model(t)
+    rows = _graphs(t)
+    edges, model = _edges(rows, "val"), _model(t, rows)
     one, many = (model.edge_probabilities(edges.repartition(n), G.message_edges(edges.repartition(n))).select("source_row_id", F.col("p")[1].alias(f"p{n}")) for n in (1, 23))
     return one.join(many, "source_row_id").agg(F.count(F.lit(1)).alias("rows"), (F.max(F.abs(F.col("p1") - F.col("p23"))) < 1e-4).alias("equal"))
 
@@ -134,28 +148,29 @@ def chunked(t: Tables) -> DataFrame:
 @Q("m9_rewired_scores")
 def rewired_scores(t: Tables) -> DataFrame:
     """Weights trained on the graph of train as it is (R) or rewired (W), each scored on val as it is or rewired: RR, RW, WR and WW."""
-    parts = []
+    rows = _graphs(t)
+    edges = [_edges(rows, "val", scored, "y") for scored in (False, True)]
+    val, parts = [(e, _context(e)) for e in edges], []
     for trained in (False, True):
+        model = _model(t, rows, rewire=trained, val=val[trained])
         for scored in (False, True):
-            edges = _edges(t, "val", scored, "y")
-            p = _model(t, rewire=trained).edge_probabilities(edges.drop("y"), G.message_edges(edges.drop("y"))).join(edges.select("source_row_id", "y"), "source_row_id")
-            parts.append(_scores(p).select(F.lit("RW"[trained] + "RW"[scored]).alias("condition"), "macro_f1", "accuracy"))
+            parts.append(_scores(model.scored(*val[scored], "y")).select(F.lit("RW"[trained] + "RW"[scored]).alias("condition"), "macro_f1", "accuracy"))
     return reduce(DataFrame.unionByName, parts)
 
 
 @Q("m6_unlabelled")
 def unlabelled(t: Tables) -> DataFrame:
     """Scores of the late delivery, which needs no labels: its rows without a missing feature are the graph's context."""
-    p, _ = prepared(t)
+    p, rows = prepared(t, *schema.ENDPOINTS, "Dataset")
     late = t.late_flows.drop("Label", "Attack").where(" AND ".join(f"{c} IS NOT NULL" for c in schema.FEATURES)).dropDuplicates(["source_row_id"])
     edges = materialize(G.label_edges(p.transform(late), "x"), "edges")
-    return _model(t).edge_probabilities(edges, G.message_edges(edges)).select("source_row_id", argmax(F.col("p")).alias("y_pred"))
+    return _model(t, rows).scored(edges, _context(edges)).select("source_row_id", argmax(F.col("p")).alias("y_pred"))
 
 
 @Q("m2_sage_training")
 def sage_training(t: Tables) -> DataFrame:
     """One pass of mini-batch training with dropout over the graph of train: the mean loss before each step."""
-    edges = _edges(t, "train", False, "y")
+    edges = _edges(_graphs(t), "train", False, "y")
     model = L.Sage(len(schema.FEATURES), 2, 11)
     losses = L.fit_sage(model, edges, G.message_edges(edges.drop("y")), _weights(edges), passes=1, batch_size=1024, together=16, dropout=DROPOUT)
     return t.spark.createDataFrame([(i, float(v)) for i, v in enumerate(losses)], "step int, loss double")
@@ -167,12 +182,13 @@ _GRID = [(size, fanout) for size in (2048, 4096) for fanout in ((10, 5), (15, 10
 @Q("m7_grid")
 def grid(t: Tables) -> DataFrame:
     """Batch size and fanout: each is trained for one pass and scored on val."""
-    edges, val = _edges(t, "train", False, "y"), _edges(t, "val", False, "y")
-    messages, weights, rows = G.message_edges(val.drop("y")), _weights(edges), []
+    known = _graphs(t)
+    edges, val = _edges(known, "train", False, "y"), _edges(known, "val", False, "y")
+    context, weights, rows = _context(val), _weights(edges), []
     for size, fanout in _GRID:
         model = L.Sage(len(schema.FEATURES), 2, 11)
         losses = L.fit_sage(model, edges, G.message_edges(edges.drop("y")), weights, passes=1, batch_size=size, fanout=fanout, dropout=DROPOUT)
-        got = _scores(model.edge_probabilities(val, messages).join(val.select("source_row_id", "y"), "source_row_id")).first()
+        got = _scores(model.scored(val, context, "y")).first()
         rows.append((size, *fanout, len(losses), float(got["macro_f1"] or 0.0)))
     return t.spark.createDataFrame(rows, "batch_size int, first_hop int, second_hop int, steps int, val_macro_f1 double")
 

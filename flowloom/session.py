@@ -47,15 +47,16 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def materialize(df: DataFrame, name: str = "step") -> DataFrame:
+def materialize(df: DataFrame, name: str = "step", by: str | None = None) -> DataFrame:
     """df written once to the shared folder and read back: a lineage cut that outlives executors.
 
     A written table is computed once, while checkpoint() computes its last stage twice; it also
     gives the planner its true size. Drop it with `discard` when the next step is written, or let a `scope` drop it.
+    by: a column whose values get folders of their own, so that a filter on it reads only those.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/flowloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").parquet(path, partitionBy=by)
     out = spark.read.schema(df.schema).parquet(path)
     out._flowloom_path = path
     for paths in _SCOPES[-1:]:

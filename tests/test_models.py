@@ -213,3 +213,35 @@ def test_hub_is_sampled_in_every_batch(spark):
     b = L.sampled_batches(G.message_edges(e.drop("y")), e, 40, (7, 2), 3).toPandas()
     hop = b[(b.kind == 1) & (b.b == "hub")]
     assert set(hop.groupby("batch").size()) == {7} and set(hop.groupby("batch").a.nunique()) == {7} and hop.a.nunique() > 14
+
+
+@pytest.mark.parametrize("use_edge", [False, True])
+def test_packed_batches_are_the_sampled_rows(spark, use_edge):
+    """Means of samples, taken once, give the gradients of the sampled edges one by one, for hubs too."""
+    import io
+
+    r = np.random.default_rng(6)
+    rows = [(i, f"s{r.integers(40)}", f"d{int(r.integers(40) ** 2 / 200)}", [float(v) for v in r.normal(size=3)], int(r.random() < 0.4)) for i in range(150)]
+    e = spark.createDataFrame(rows, "source_row_id bigint, src string, dst string, x array<float>, y int")
+    m, model, cw = G.message_edges(e.drop("y")), L.Sage(3, 2, 1, use_edge, hidden=4), np.array([1.0, 2.0])
+    spelled = L.sampled_batches(m, e, 40, (4, 3), 1).toPandas()
+    got = {b["batch"]: dict(np.load(io.BytesIO(b["data"]))) for b in L.packed_batches(m, e, 40, (4, 3), 1, use_edge).collect()}
+    assert sorted(got) == [0, 1, 2, 3]
+    for b, arrays in got.items():
+        want, names = L.sage_gradients(model, spelled[spelled.batch == b], cw)
+        assert np.allclose(L.batch_gradient(model, arrays, cw)[0], want, rtol=1e-4, atol=1e-4)
+
+
+def test_hub_that_no_batch_has_whole(spark):
+    """A node whose rows several Arrow batches share has the states of the equations."""
+    rows = [(i, f"s{i}", "hub", [float(i % 7), 1.0, -float(i % 3)]) for i in range(50)]
+    e = spark.createDataFrame(rows, "source_row_id bigint, src string, dst string, x array<float>")
+    key, model = "spark.sql.execution.arrow.maxRecordsPerBatch", L.Sage(3, 2, 5, hidden=8)
+    old = spark.conf.get(key)
+    spark.conf.set(key, "8")
+    try:
+        got = {r["source_row_id"]: r["p"] for r in model.edge_probabilities(e, G.message_edges(e)).collect()}
+    finally:
+        spark.conf.set(key, old)
+    want = by_hand(rows, model)
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i], atol=1e-5) for i in want)
