@@ -2,8 +2,8 @@
 
 Clusters are moved whole, each by itself. All start where a hash of their key puts them. CHAINS annealing chains, each in a task of its own, then move and
 exchange clusters: the HEAVY largest, which are candidates of every chain, and a SAMPLE of all others drawn by hash, another one
-for each chain. A chain knows the totals of all clusters, so it balances those that are no candidates too. The best chain is kept. The search is thus
-bounded by the number of candidates, whatever the number of clusters, and any cluster may be one.
+for each chain. A chain knows the totals of all clusters, so it balances those that are no candidates too. The best chain is kept. Rounds with other
+samples go on from there until the shares are met or a round gains little, so the number of candidates bounds a round, not the search, and any cluster may be one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from flowloom.llm.clusters import anchored, components, host_edges, host_roots,
 from flowloom.session import materialize
 
 HEAVY, SAMPLE, CHAINS, STEPS, SEED = 1024, 1024, 8, 40_000, 20260920
+# A round that lowers the cost by less than this part is the last, as is one that leaves every part this near its share (or within a row).
+GAIN, NEAR = 0.1, 1e-4
 
 
 def clustered(flows: DataFrame) -> DataFrame:
@@ -125,18 +127,29 @@ def place_clusters(flows: DataFrame, shares: list[tuple[str, float]]) -> tuple[D
     rows = materialize(clustered(flows), "clustered")
     sizes = rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == 0).alias("n0"), F.count_if(F.col("label") == 1).alias("n1"))
     sizes = materialize(sizes.withColumn("start", _start(shares)), "sizes")
-    sums = {r["start"]: [float(r[c]) for c in ("n", "n0", "n1")] for r in sizes.groupBy("start").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]).collect()}
-    totals = [sums.get(s, [0.0] * 3) for s, _ in shares]
-    # Candidates: at most HEAVY clusters for all chains, and CHAINS x SAMPLE others, each for one chain.
-    heavy = materialize(sizes.orderBy(F.desc("n"), "cluster").limit(HEAVY), "heavy")
-    h = hash60(F.col("cluster"), f"{SEED}|sample")
-    others = sizes.join(F.broadcast(heavy.select("cluster")), "cluster", "left_anti").withColumn("h", h).orderBy("h", "cluster").limit(CHAINS * SAMPLE)
-    candidates = heavy.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(CHAINS)))).unionByName(others.withColumn("chain", (F.col("h") % CHAINS + 1).cast("int")).drop("h"))
-    tried = materialize(candidates.groupBy("chain").applyInPandas(_chain(shares, totals), "cluster string, cost double, chain int, split string"), "tried")
-    best = tried.groupBy("chain").agg(F.min(F.round("cost", 12)).alias("cost")).orderBy("cost", "chain").limit(1)
-    chosen = F.broadcast(tried.join(F.broadcast(best.select("chain")), "chain", "left_semi").select("cluster", "split"))  # at most HEAVY + CHAINS x SAMPLE rows
-    placed = rows.join(chosen, "cluster", "left").withColumn("split", F.coalesce("split", _start(shares))).select("id", "cluster", "label", "split")
-    return placed, sizes.join(chosen, "cluster", "left").select("cluster", "n", "n0", "n1", F.coalesce("split", "start").alias("split"))
+    heavy = materialize(sizes.orderBy(F.desc("n"), "cluster").limit(HEAVY).select("cluster"), "heavy")
+    moved, before = None, math.inf
+    while True:
+        now = sizes if moved is None else sizes.join(F.broadcast(moved), "cluster", "left").withColumn("start", F.coalesce("split", "start")).drop("split")
+        sums = {r["start"]: [float(r[c]) for c in ("n", "n0", "n1")] for r in now.groupBy("start").agg(*[F.sum(c).alias(c) for c in ("n", "n0", "n1")]).collect()}
+        totals = [sums.get(s, [0.0] * 3) for s, _ in shares]
+        whole = [max(sum(t[d] for t in totals), 1.0) for d in range(3)]
+        off = [[t[d] / whole[d] - p if sum(x[d] for x in totals) else 0.0 for d in range(3)] for t, (_, p) in zip(totals, shares, strict=True)]
+        cost = sum(x * x for xs in off for x in xs)
+        if cost > (1 - GAIN) * before or max(abs(x) for xs in off for x in xs) <= max(NEAR if moved is not None else 0.0, 1 / whole[0]):
+            break
+        before, turn = cost, 0 if moved is None else turn + 1
+        # Candidates: at most HEAVY clusters for all chains, and CHAINS x SAMPLE others, each for one chain; others again in every round.
+        h = hash60(F.col("cluster"), f"{SEED}|sample" + (f"|{turn}" if turn else ""))
+        large = now.join(F.broadcast(heavy), "cluster", "left_semi")
+        others = now.join(F.broadcast(heavy), "cluster", "left_anti").withColumn("h", h).orderBy("h", "cluster").limit(CHAINS * SAMPLE)
+        candidates = large.withColumn("chain", F.explode(F.sequence(F.lit(1), F.lit(CHAINS)))).unionByName(others.withColumn("chain", (F.col("h") % CHAINS + 1).cast("int")).drop("h"))
+        tried = materialize(candidates.groupBy("chain").applyInPandas(_chain(shares, totals), "cluster string, cost double, chain int, split string"), "tried")
+        best = tried.groupBy("chain").agg(F.min(F.round("cost", 12)).alias("cost")).orderBy("cost", "chain").limit(1)
+        chosen = tried.join(F.broadcast(best.select("chain")), "chain", "left_semi").select("cluster", "split")  # at most HEAVY + CHAINS x SAMPLE rows
+        moved = materialize(chosen if moved is None else chosen.unionByName(moved.join(F.broadcast(chosen), "cluster", "left_anti")), "moved")
+    split = lambda df, start: df.withColumn("split", start) if moved is None else df.join(F.broadcast(moved), "cluster", "left").withColumn("split", F.coalesce("split", start))
+    return split(rows, _start(shares)).select("id", "cluster", "label", "split"), split(sizes, F.col("start")).select("cluster", "n", "n0", "n1", "split")
 
 
 def assign_splits(flows: DataFrame, shares: list[tuple[str, float]]) -> tuple[DataFrame, DataFrame]:

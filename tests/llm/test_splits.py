@@ -116,3 +116,16 @@ def test_wholeness_of_nothing(flows):
     from flowloom.llm.splits import wholeness
 
     assert tuple(wholeness(flows([]), [("a", 1.0)]).first()) == (0, 0, 0)
+
+
+def test_more_is_out_of_place_than_a_round_can_move(flows, monkeypatch):
+    """A round with a few candidates cannot balance what a hash put elsewhere; further rounds with others can."""
+    from flowloom.llm import splits
+
+    for name, value in (("HEAVY", 1), ("SAMPLE", 6), ("CHAINS", 2), ("SEED", 3)):
+        monkeypatch.setattr(splits, name, value)
+    rows = [{"IPV4_SRC_ADDR": f"10.{i % 250}.0.1", "IPV4_DST_ADDR": f"10.{i % 250}.0.2", "flow_group_id": None, "Label": None} for i in range(250)]
+    placed, clusters = splits.place_clusters(flows(rows), [("a", 0.5), ("b", 0.5)])
+    got = [r["split"] for r in clusters.collect()]
+    assert len(got) == 250 and abs(got.count("a") - 125) <= 1
+    assert len({(r["cluster"], r["split"]) for r in placed.collect()}) == 250
