@@ -1,7 +1,7 @@
 """Models on flows: multi-layer perceptron, two-layer edge-aware message passing, forests.
 
 Scoring is NumPy on Arrow batches with weights that travel with the task. Training of the perceptron is data-parallel: every step sums the
-gradients of all partitions. Aggregation over neighbours stays in the JVM.
+gradients of all partitions; message passing takes its steps one after the other in a task. Scoring aggregates features over neighbours in the JVM, states in NumPy.
 """
 
 from __future__ import annotations
